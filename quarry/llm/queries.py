@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
-from quarry.session import load
+from quarry.llm import decontaminate, mixing, simhash, sql
+from quarry.session import load, materialize
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    found = decontaminate.scan(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
+    hit = F.expr("aggregate(spans, struct(0L AS n, 0L AS e), (s, x) -> struct(s.n + greatest(0L, x.end - greatest(x.start, s.e)) AS n, greatest(s.e, x.end) AS e), s -> s.n)")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes of each: sources weigh 5, 2, 1, repeating, and stop at 3 epochs."""
+    docs = load(spark, sf_dir, "documents")
+    size, h = mixing.word_count(F.col("text")), mixing.seeded_hash(F.col("doc_id"), 0)
+    rows = materialize(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes")
+    return mixing.mix(rows, mixing.by_rank(rows, [5, 2, 1]), max_epochs=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +37,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name, for __spark_entry__.py."""
-    return {"op5_simhash": op5_simhash}
+    return {f.__name__: f for f in (op3_decontamination, op4_mixing, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {}
+    return {"op3_decontamination": sql.OP3, "op4_mixing": sql.OP4}
