@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, simhash, sql
+from quarry.llm import decontaminate, host_rules, language, mixing, pii, simhash, sql, toxicity
 from quarry.session import load, materialize
 
 
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdict of every document; its source is its host."""
+    found = host_rules.judge(load(spark, sf_dir, "documents"), F.col("source"))
+    return found.select(F.col("id").alias("doc_id"), *host_rules.METRICS, "base_failed", "kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     found = decontaminate.scan(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
@@ -35,11 +41,39 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network that learned from the documents outside the held-out quarter."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.fit(docs, train=language.bucket("doc_id", 4) != 2)
+    found = language.identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (language.bucket("id", 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find(load(spark, sf_dir, "documents"))
+    base = F.expr("filter(spans, s -> s.kind IN ('email', 'ip', 'card', 'phone'))")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS long) AS n_{k}") for k in pii.KINDS[:4]]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labels outside the held-out fifth."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, train=toxicity.bucket("doc_id", 5) != 0)
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (toxicity.bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name, for __spark_entry__.py."""
-    return {f.__name__: f for f in (op3_decontamination, op4_mixing, op5_simhash)}
+    return {f.__name__: f for f in (op2_host_rules, op3_decontamination, op4_mixing, op5_simhash, op8_language, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {"op3_decontamination": sql.OP3, "op4_mixing": sql.OP4}
+    return {"op2_host_rules": sql.OP2, "op3_decontamination": sql.OP3, "op4_mixing": sql.OP4}

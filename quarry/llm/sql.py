@@ -4,6 +4,34 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _WORD3 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+OP2 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {_WORD}), []) AS w FROM documents),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, run) AS often
+  FROM (SELECT r, i, array_to_string(list_slice(w, i, i + 2), ' ') AS run FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))),
+repeated AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 3)) AS at FROM windows WHERE often > 1) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS x FROM d),
+m AS (
+  SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(x) - len(list_distinct(x)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d JOIN lines USING (r) LEFT JOIN repeated USING (r)),
+rules AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS failed
+  FROM (
+    SELECT source, unnest(['short', 'repetitive', 'symbols', 'dup_lines']) AS rule,
+      unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * word_chars, 4 * n_dup_lines > n_words]) AS bad
+    FROM m WHERE source IS NOT NULL)
+  GROUP BY source, rule),
+prior AS (SELECT rule, avg(failed / n) AS mean, coalesce(var_samp(failed / n), 0) AS variance FROM rules GROUP BY rule),
+strength AS (
+  SELECT rule, mean, greatest(1, least(1e6, CASE WHEN variance > 0 THEN mean * (1 - mean) / variance - 1 ELSE 1e6 END)) AS strength FROM prior),
+rejected AS (
+  SELECT DISTINCT source FROM rules JOIN strength USING (rule) WHERE (failed + mean * strength) / (n + strength) > 0.8)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.source IS NULL AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) m LEFT JOIN rejected r ON m.source = r.source
+"""
+
 OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_FOLD}, {_WORD3}), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLD}, {_WORD3}) AS w FROM benchmark WHERE text IS NOT NULL),
