@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, host_rules, language, mixing, pii, simhash, sql, toxicity
+from quarry.llm import decontaminate, host_rules, language, licenses, mixing, pii, sharding, simhash, spans, sql, toxicity
 from quarry.session import load, materialize
 
 
+#: Shards of the sharding query and of the pipeline.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and licences of every document."""
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_sentences",
+        F.array_join(F.transform("identifiers", lambda x: F.concat_ws(":", x["position"].cast("string"), x["name"])), ",").alias("identifiers"),
+        F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["first"].cast("string"), x["last"].cast("string"), x["licence"])), ",").alias("licences"),
+    )
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of every document; its source is its host."""
     found = host_rules.judge(load(spark, sf_dir, "documents"), F.col("source"))
@@ -41,6 +55,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose repeated spans, what is left of them, and the documents where those spans are first."""
+    found = spans.dedup(load(spark, sf_dir, "documents"), changed_only=True)
+    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_kept_words", F.sha2("text", 256).alias("text_sha256"), F.col("first_ids").alias("first_doc_ids"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.place(load(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a network that learned from the documents outside the held-out quarter."""
     docs = load(spark, sf_dir, "documents")
@@ -71,7 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name, for __spark_entry__.py."""
-    return {f.__name__: f for f in (op2_host_rules, op3_decontamination, op4_mixing, op5_simhash, op8_language, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_host_rules, op3_decontamination, op4_mixing, op5_simhash, op6_spans, op7_sharding, op8_language, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
