@@ -99,7 +99,7 @@ class Controller:
             admitted += p > np.percentile(self.seen, 100 * self.ratio)
         err = (len(positions) - admitted - self.limit) / (admitted or self.limit)
         self.errors.append(err)
-        self.ratio = float(min(0.999999, max(0.0, 1 - np.exp(-0.1 * err - 1.4 * sum(self.errors)))))
+        self.ratio = float(min(0.999999, max(0.0, 1 - np.exp(min(700.0, -0.1 * err - 1.4 * sum(self.errors))))))
         return int(admitted), ran_with
 
 

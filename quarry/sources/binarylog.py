@@ -9,23 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = struct.Struct("<4I")
+HEADER = "<4I"
+HEADER_SIZE = struct.calcsize(HEADER)
 
 
 def encode(records: list[tuple[int, int, bytes, bytes]]) -> bytes:
     """Records (timestamp, expiry, key, value) as the bytes of a file."""
-    return b"".join(HEADER.pack(ts, expiry, len(key), len(value)) + value + key for ts, expiry, key, value in records)
+    return b"".join(struct.pack(HEADER, ts, expiry, len(key), len(value)) + value + key for ts, expiry, key, value in records)
 
 
 def decode(data: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """(offset, timestamp, expiry, key, value); a cut last record ends the log."""
     at = 0
-    while at + HEADER.size <= len(data):
-        ts, expiry, key_size, value_size = HEADER.unpack_from(data, at)
-        end = at + HEADER.size + value_size + key_size
+    while at + HEADER_SIZE <= len(data):
+        ts, expiry, key_size, value_size = struct.unpack_from(HEADER, data, at)
+        end = at + HEADER_SIZE + value_size + key_size
         if end > len(data):
             return
-        yield at, ts, expiry, data[end - key_size : end], data[at + HEADER.size : end - key_size]
+        yield at, ts, expiry, data[end - key_size : end], data[at + HEADER_SIZE : end - key_size]
         at = end
 
 
