@@ -36,12 +36,11 @@ class Boosted:
             return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
         return np.clip(np.interp(raw, self.knots, self.levels), 0, 1)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """Isotonic regression of the label on the raw score by pooling adjacent violators; ties are pooled first.
+    def calibrate(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Isotonic regression of the label on raw scores by pooling adjacent violators; ties are pooled first.
 
-        One half of a pseudo-label of either kind keeps the ends off 0 and 1, and so the order of scores beyond them.
+        Half a pseudo-row of the mean label in each block keeps its level off 0 and 1.
         """
-        raw = self.raw(x)
         at, inverse = np.unique(raw, return_inverse=True)
         blocks: list[list[float]] = []  # weight, weighted label, weighted score
         for w, wy, wx in zip(np.bincount(inverse, weight), np.bincount(inverse, weight * y), np.bincount(inverse, weight * raw)):
@@ -51,7 +50,7 @@ class Boosted:
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
         table = np.array(blocks)
         self.knots = table[:, 2] / table[:, 0]
-        self.levels = (table[:, 1] + 0.5 * y.mean()) / (table[:, 0] + 0.5)
+        self.levels = (table[:, 1] + 0.5 * np.average(y, weights=weight)) / (table[:, 0] + 0.5)
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 2.0) -> Boosted:

@@ -169,13 +169,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             first = found
     if k == 0:
         return first.drop("mark")
-    more = parts.filter("n_words IS NULL").groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
-    same = first["id"].eqNullSafe(more["id"]) & first["mark"].eqNullSafe(more["mark"])
-    return first.join(more, same, "left").select(
-        first["id"], "n_words",
-        F.array_sort(F.array_union("spans", F.coalesce("s", F.array().cast("array<struct<start:long,end:long>>")))).alias("spans"),
-        F.array_sort(F.array_union("items", F.coalesce("i", F.array().cast("array<string>")))).alias("items"),
-    )
+    more = parts.filter("n_words IS NULL").groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("t"))
+    both = first.join(more, F.col("id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m")), "left")
+    united = [F.array_sort(F.array_distinct(F.concat(a, F.coalesce(b, F.slice(a, 1, 0))))).alias(a) for a, b in (("spans", "s"), ("items", "t"))]
+    return both.select("id", "n_words", *united)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",

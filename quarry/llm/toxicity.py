@@ -35,6 +35,8 @@ EDGE = " \t\n\"'.,;:!?()[]{}«»„“”‘’…¡¿*#$%&|<>~_^-"
 WITHIN = re.compile(r"[^\W\d_][0-9@$!*#|€._-]+[^\W\d_]")
 #: Words between an insult and a second-person form that count as near.
 NEAR = 5
+#: Parts of the sample for scores out of their own fold.
+FOLDS = 3
 #: Words whose class is remembered; beyond, the memory starts again.
 REMEMBERED = 200_000
 FEATURES = (
@@ -170,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     """A model from labelled documents: at most max_rows of each label, those with the least hash of their id.
 
     train: a condition over labels that chooses the rows to learn from. Rows of a class weigh as many as it has in
-    labels, so that probabilities are those of the whole. One row in three is kept from the trees for calibration.
+    labels, so that probabilities are those of the whole. Calibration uses scores that each fold
+    of the rows gets from trees of the other folds.
     Null labels, ids and texts are left out; without rows of both labels every score is the share of label 1.
     """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -197,12 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     x, y = np.array(rows.x.tolist()), rows.toxic.to_numpy(float)
     weight = np.where(y == 1, every[1] / had[1], every[0] / had[0])
     weight /= weight.mean()
-    held = rows.h.to_numpy() % 3 == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    trees = boosting.fit(x[~held], y[~held], weight[~held])
-    some = held if held.any() else ~held
-    trees.calibrate(x[some], y[some], weight[some])
+    fold = rows.h.to_numpy() % FOLDS
+    apart = np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        own = fold == k
+        if own.any() and len(set(y[~own])) == 2:
+            apart[own] = boosting.fit(x[~own], y[~own], weight[~own]).raw(x[own])
+    trees = boosting.fit(x, y, weight)
+    apart = np.where(np.isnan(apart), trees.raw(x), apart)
+    trees.calibrate(apart, y, weight)
     return Model(lexicon, trees)
 
 
