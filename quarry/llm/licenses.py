@@ -79,17 +79,18 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 #: A sentence ends at . ; : ! or ? before white space or the end, and at a blank line.
-SENTENCE_END = re.compile(r"[.;:!?]+(?=[ \t\r\n]|$)|\n[ \t\r]*\n")
-OTHER = re.compile(r"[^a-z0-9]+")
-#: Code points of a longest known sentence in a text, comment marks and line ends included; longer ones are no known ones.
-LONGEST = 4 * max(map(len, SENTENCES.values()))
+SENTENCE_END = re.compile(rb"[.;:!?]+(?=[ \t\r\n]|\Z)|\n[ \t\r]*\n")
+#: Lower-cases A-Z; any byte that is no ASCII letter or digit becomes a space.
+FOLD = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: Positions from one sentence of a rule to the next at most: one unknown sentence may lie between.
+GAP = 2
 
 Match = tuple[str, int, int]
 
 
-def normalise(sentence: str) -> str:
+def normalise(sentence: bytes) -> bytes:
     """ASCII letters and digits in lower case, with one space for anything between."""
-    return OTHER.sub(" ", sentence.lower()).strip()
+    return b" ".join(sentence.translate(FOLD).split())
 
 
 class Recogniser:
@@ -97,8 +98,7 @@ class Recogniser:
 
     def __init__(self, sentences: dict[str, str] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> None:
         known = SENTENCES if sentences is None else sentences
-        self.identifier = {normalise(text): name for name, text in known.items()}
-        self.longest = max(map(len, self.identifier), default=0)
+        self.identifier = {normalise(text.encode()): name for name, text in known.items()}
         self.by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
         for licence, names in rules:
             self.by_first.setdefault(names[0], []).append((licence, names))
@@ -110,19 +110,14 @@ class Recogniser:
         own under text without a full stop; its known lines have its position.
         """
         found, n = [], 0
-        for part in SENTENCE_END.split(text or ""):
+        for part in SENTENCE_END.split((text or "").encode("utf-8", "surrogatepass")):
             if not part.strip():
                 continue
-            if len(part) <= LONGEST:
-                name = self.identifier.get(normalise(part))
-                if name:
-                    found.append((n, name))
-                    n += 1
-                    continue
-            if "\n" in part:
-                for line in part.split("\n"):
-                    if len(line) <= LONGEST and (name := self.identifier.get(normalise(line))):
-                        found.append((n, name))
+            name = self.identifier.get(normalise(part))
+            if name:
+                found.append((n, name))
+            elif b"\n" in part:
+                found += [(n, self.identifier[line]) for line in map(normalise, part.split(b"\n")) if line in self.identifier]
             n += 1
         return n, found
 
@@ -135,7 +130,7 @@ class Recogniser:
         while i < len(found):
             for licence, names in self.by_first.get(found[i][1], ()):
                 run = found[i : i + len(names)]
-                if tuple(name for _, name in run) == names and all(b - a <= 2 for (a, _), (b, _) in zip(run, run[1:])):
+                if tuple(name for _, name in run) == names and all(b - a <= GAP for (a, _), (b, _) in zip(run, run[1:])):
                     out.append((licence, run[0][0], run[-1][0]))
                     i += len(names)
                     break

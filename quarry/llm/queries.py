@@ -56,9 +56,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose repeated spans, what is left of them, and the documents where those spans are first."""
+    """The documents that lose repeated spans, what is left of them, and the first document that has one of those spans first."""
     found = spans.dedup(load(spark, sf_dir, "documents"), changed_only=True)
-    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_kept_words", F.sha2("text", 256).alias("text_sha256"), F.col("first_ids").alias("first_doc_ids"))
+    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", F.col("first_id").alias("first_doc_id"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {"op2_host_rules": sql.OP2, "op3_decontamination": sql.OP3, "op4_mixing": sql.OP4}
+    return {"op1_licenses": sql.OP1, "op2_host_rules": sql.OP2, "op3_decontamination": sql.OP3, "op4_mixing": sql.OP4, "op6_spans": sql.OP6}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from quarry.llm.simhash import LOWER
 from quarry.session import materialize
 
 #: A sentence ends after . ! or ? before white space, and at a line end.
-SENTENCE = re.compile(rb"[^\n]+?(?:[.!?]+(?=[ \t\r\n])|(?=\n)|\Z)")
+SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)|[^\n]+")
 #: Words of a sentence at most; longer ones are cut, so that text without full stops has sentences too.
 LONGEST = 16
 #: A run has at least so many sentences and so many words, and is the shortest such one from its first sentence.
@@ -81,7 +82,7 @@ def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> Dat
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
-    """id, sentences, first_ids: positions of the sentences that non-first repeated runs cover, and where those runs are first.
+    """id, sentences, first_id: positions of the sentences that non-first repeated runs cover, and the least id where one is first.
 
     Rows without any are left out.
     Of a run's occurrences the first is that of the smallest id, and of that the first in its text; all others lose
@@ -96,8 +97,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     again = materialize(counted.filter("times > 1").select("hash", F.col("place.key").alias("k"), F.col("place.first").alias("f")), "repeated")
     later = found.join(again, "hash").filter((F.col("key") != F.col("k")) | (F.col("first") != F.col("f")))
     covered = later.select("key", "k", F.explode(F.expr("sequence(first, first + n - 1)")).alias("at"))
-    lists = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("at", "sentences"), ("k", "first_ids"))]
-    return covered.groupBy(F.col("key").alias("id")).agg(*lists)
+    return covered.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("k").alias("first_id"))
 
 
 def remove(text: bytes, positions: list[int]) -> bytes:
@@ -112,26 +112,28 @@ def remove(text: bytes, positions: list[int]) -> bytes:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS,
           changed_only: bool = False) -> DataFrame:
-    """id, text, n_sentences, n_removed, n_words, n_kept_words, first_ids for every row of docs: its text without repeated spans.
+    """id, text, n_sentences, n_removed, n_words, n_kept_words, words_sha256, first_id for every row of docs.
 
+    text is what is left without repeated spans; words_sha256 the digest of its lower-cased words, joined by spaces.
     changed_only leaves out the rows that lose nothing. Null texts stay null and have no sentences; rows with a null id
     stay as they are; see repeated() for the rest.
     """
     gone = materialize(repeated(docs, id_col, text_col, least_sentences, least_words), "spans").withColumnRenamed("id", "_q_id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = rows.join(gone, F.col("id") == F.col("_q_id"), "inner" if changed_only else "left").select("id", "text", "sentences", "first_ids")
+    joined = rows.join(gone, F.col("id") == F.col("_q_id"), "inner" if changed_only else "left").select("id", "text", "sentences", "first_id")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[tuple] = []
             for text, at in zip(batch.column(1), batch.column(2)):
-                raw, at = text.as_py(), at.as_py() or []
+                raw, lost = text.as_py(), set(at.as_py() or ())
                 words = sentences(raw or b"")[1]
-                size = sum(map(len, words))
-                row = (raw if raw is None else remove(raw, at) if at else raw, len(words), len(at), size, size - sum(len(words[k]) for k in at if k < len(words)))
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()).cast(pa.string()), *(pa.array(c, pa.int64()) for c in out[1:]), batch.column(3)], names)
-
-    names = ["id", "text", "n_sentences", "n_removed", "n_words", "n_kept_words", "first_ids"]
-    return joined.mapInArrow(go, "id long, text string, n_sentences long, n_removed long, n_words long, n_kept_words long, first_ids array<long>")
+                kept = [w for k, s in enumerate(words) if k not in lost for w in s]
+                left = remove(raw, list(lost)) if lost else raw
+                out.append((left, len(words), len(lost), sum(map(len, words)), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            columns = [list(c) for c in zip(*out)] or [[] for _ in range(6)]
+            arrays = [pa.array(columns[0], pa.binary()).cast(pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, batch.column(3)], names)
+
+    names = ["id", "text", "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", "first_id"]
+    return joined.mapInArrow(go, "id long, text string, n_sentences long, n_removed long, n_words long, n_kept_words long, words_sha256 string, first_id long")

@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the registered queries."""
 
+from quarry.llm import licenses, spans
+
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD3 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -89,3 +91,82 @@ SELECT doc_id, size, source_size, target,
   CAST(whole * size + CASE WHEN through <= extra THEN size WHEN through - own <= extra THEN (extra - (through - own)) // n ELSE 0 END AS BIGINT) AS taken
 FROM running
 """
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in rows)
+
+
+_CLEAN = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+_RULE_PARTS = [(rule, part, name, len(names)) for rule, (_, names) in enumerate(licenses.RULES) for part, name in enumerate(names)]
+
+# A document's known sentences are numbered; at each number the first rule that fits takes as many as it has, or none
+# and the next is tried.
+OP1 = rf"""
+WITH RECURSIVE known(name, body) AS (VALUES {_values([(k, v) for k, v in licenses.SENTENCES.items()])}),
+rules(rule, part, name, size) AS (VALUES {_values(_RULE_PARTS)}),
+licences(rule, licence) AS (VALUES {_values([(k, licence) for k, (licence, _) in enumerate(licenses.RULES)])}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS (
+  SELECT r, unnest(x) AS body, unnest(range(len(x))) AS piece
+  FROM (SELECT r, string_split_regex(text, '[.;:!?]+([ \t\r\n]|$)|\n[ \t\r]*\n') AS x FROM d)),
+parts AS (
+  SELECT r, body, row_number() OVER (PARTITION BY r ORDER BY piece) - 1 AS position FROM pieces WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+wholes AS (SELECT r, position, body, name FROM (SELECT *, {_CLEAN.format("body")} AS clean FROM parts) p LEFT JOIN (SELECT name, body AS clean FROM known) k USING (clean)),
+lines AS (
+  SELECT r, position, unnest(x) AS body, unnest(range(len(x))) AS line
+  FROM (SELECT r, position, string_split(body, chr(10)) AS x FROM wholes WHERE name IS NULL)),
+found AS (
+  SELECT r, position, 0 AS line, name FROM wholes WHERE name IS NOT NULL UNION ALL
+  SELECT r, position, line, name FROM (SELECT *, {_CLEAN.format("body")} AS clean FROM lines) JOIN (SELECT name, body AS clean FROM known) k USING (clean)),
+seq AS (SELECT r, position, name, row_number() OVER (PARTITION BY r ORDER BY position, line) - 1 AS i FROM found),
+steps AS (SELECT *, position - lag(position) OVER (PARTITION BY r ORDER BY i) AS gap FROM seq),
+fits AS (
+  SELECT s.r, s.i, t.rule, t.size, max(n.position) AS last
+  FROM seq s JOIN rules t ON t.part = 0 AND t.name = s.name
+  JOIN rules u ON u.rule = t.rule JOIN steps n ON n.r = s.r AND n.i = s.i + u.part AND n.name = u.name AND (u.part = 0 OR n.gap <= {licenses.GAP})
+  GROUP BY s.r, s.i, t.rule, t.size HAVING count(*) = t.size),
+best AS (SELECT r, i, min(rule) AS rule, arg_min(size, rule) AS size, arg_min(last, rule) AS last FROM fits GROUP BY r, i),
+walk AS (
+  SELECT s.r, s.i, s.position, b.rule, b.last, coalesce(b.size, 1) AS size FROM seq s LEFT JOIN best b USING (r, i) WHERE s.i = 0 UNION ALL
+  SELECT s.r, s.i, s.position, b.rule, b.last, coalesce(b.size, 1) AS size
+  FROM walk w JOIN seq s ON s.r = w.r AND s.i = w.i + w.size LEFT JOIN best b ON b.r = s.r AND b.i = s.i),
+matches AS (SELECT r, string_agg(position || ':' || last || ':' || licence, ',' ORDER BY i) AS x FROM walk JOIN licences USING (rule) GROUP BY r),
+named AS (SELECT r, string_agg(position || ':' || name, ',' ORDER BY i) AS x FROM seq GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM parts GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(named.x, '') AS identifiers, coalesce(matches.x, '') AS licences
+FROM d LEFT JOIN counts USING (r) LEFT JOIN named USING (r) LEFT JOIN matches USING (r)
+"""
+
+OP6 = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(x) AS body, unnest(range(len(x))) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL)),
+pieces AS (
+  SELECT doc_id, line, unnest(x) AS body, unnest(range(len(x))) AS piece
+  FROM (SELECT doc_id, line, string_split(regexp_replace(body, '([.!?]+)([ \t\r]|$)', '\1' || chr(10), 'g'), chr(10)) AS x FROM lines)),
+spoken AS (
+  SELECT doc_id, line, piece, w, unnest(range(0, len(w), {spans.LONGEST})) AS cut
+  FROM (SELECT doc_id, line, piece, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM pieces)),
+s AS (
+  SELECT doc_id, array_to_string(list_slice(w, cut + 1, cut + {spans.LONGEST}), ' ') AS body, least({spans.LONGEST}, len(w) - cut) AS n,
+    row_number() OVER (PARTITION BY doc_id ORDER BY line, piece, cut) - 1 AS i
+  FROM spoken),
+through AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM s),
+ends AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM through a
+  JOIN through b ON a.doc_id = b.doc_id AND b.i >= a.i + {spans.SENTENCES - 1} AND b.total >= a.before + {spans.WORDS} AND b.i < a.i + {spans.SENTENCES + spans.WORDS}
+  GROUP BY a.doc_id, a.i),
+runs AS (
+  SELECT e.doc_id, e.i, e.j, string_agg(s.body, ' ' ORDER BY s.i) AS run
+  FROM ends e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY e.doc_id, e.i, e.j),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, i) AS home, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM runs),
+gone AS (SELECT doc_id, home, unnest(range(i, j + 1)) AS i FROM ranked WHERE k > 1),
+homes AS (SELECT doc_id, min(home) AS first_doc_id, count(DISTINCT i) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE g.i IS NULL), 0) AS BIGINT) AS n_kept_words,
+    sha256(coalesce(string_agg(body, ' ' ORDER BY s.i) FILTER (WHERE g.i IS NULL), '')) AS words_sha256
+  FROM s LEFT JOIN (SELECT DISTINCT doc_id, i FROM gone) g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
+SELECT doc_id, n_sentences, n_removed, n_words, n_kept_words, words_sha256, first_doc_id FROM kept JOIN homes USING (doc_id)
+"""
