@@ -135,8 +135,11 @@ def terms(text: str | None) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEM_SIZES if len(w) > k}
 
 
-def learn_lexicon(sample: DataFrame, counts: dict[int, int], least: int = 3, odds: float = 10.0, most: int = 5000) -> Lexicon:
-    """Terms that at least `least` toxic texts have (and one in 250) and that are odds times as frequent there as elsewhere."""
+def learn_lexicon(sample: DataFrame, least: int = 3, odds: float = 10.0, most: int = 5000) -> Lexicon:
+    """Terms that at least `least` toxic texts have (and one in 150) and that are odds times as frequent there as elsewhere.
+
+    Equal texts count once, so that a text with many copies doesn't pass its own words off as a habit.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
@@ -153,11 +156,13 @@ def learn_lexicon(sample: DataFrame, counts: dict[int, int], least: int = 3, odd
                     seen.clear()
         yield out()
 
-    found = sample.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long")
+    once = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "texts")
+    counts = {r.toxic: r["count"] for r in once.groupBy("toxic").count().collect()}
+    found = once.mapInArrow(count, "term string, toxic int, n long")
     n1, n0 = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
     totals = found.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     ratio = (F.col("t") / n1) / ((F.col("c") + 0.5) / n0)
-    rows = totals.filter((F.col("t") >= max(least, n1 // 250)) & (ratio >= odds)).orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(most).collect()
+    rows = totals.filter((F.col("t") >= max(least, n1 // 150)) & (ratio >= odds)).orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(most).collect()
     names = [r.term for r in rows]
     return Lexicon(frozenset(t for t in names if t[-1] != "*"), frozenset(t[:-1] for t in names if t[-1] == "*"))
 
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if len(had) < 2:
         share = float(np.clip(every.get(1, 0) / max(1, sum(every.values())), 1e-3, 1 - 1e-3))
         return Model(Lexicon(), boosting.Boosted(float(np.log(share / (1 - share))), np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8))))
-    lexicon = learn_lexicon(sample, had)
+    lexicon = learn_lexicon(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(lexicon)
