@@ -16,6 +16,8 @@ from quarry.session import scratch_path
 
 #: Bytes of a record's header: four 32-bit numbers, or two 64-bit lengths in a sorted run.
 HEADER = 16
+#: Numbers of seq that one task looks at for one key.
+CHUNK = 1_000_000
 
 
 def size_of(key: Column, value: Column) -> Column:
@@ -50,12 +52,20 @@ def fold_with(log: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Itera
     return snapshot(log).select("key", "value").mapInPandas(function, schema)
 
 
-def deleted_bytes(log: DataFrame) -> DataFrame:
-    """key, seq, n_bytes of each delete: value and header of what it removes; 0 if the key is not live then."""
-    over = Window.partitionBy("key").orderBy("seq")
-    before = log.withColumn("was", F.lag(F.struct("value", "tombstone")).over(over))
+def deleted_bytes(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """key, seq, n_bytes of each delete: value and header of what it removes; 0 if the key is not live then.
+
+    What a key was before comes from its rows in the same chunk of seq, or from the last of an earlier chunk; so a key
+    with any share of the log is spread over as many tasks as it has chunks.
+    """
+    rows = log.withColumn("chunk", F.expr(f"seq div {chunk}"))
+    state = F.struct("value", "tombstone")
+    last = rows.groupBy("key", "chunk").agg(F.max_by(state, "seq").alias("last"))
+    carried = last.select("key", "chunk", F.lag("last").over(Window.partitionBy("key").orderBy("chunk")).alias("carried"))
+    before = F.lag(state).over(Window.partitionBy("key", "chunk").orderBy("seq"))
+    known = rows.withColumn("was", before).filter("tombstone").join(carried, ["key", "chunk"]).withColumn("was", F.coalesce("was", "carried"))
     removed = F.when(F.col("was").isNotNull() & ~F.col("was.tombstone"), F.octet_length("was.value") + HEADER).otherwise(0)
-    return before.filter("tombstone").select("key", "seq", removed.cast("bigint").alias("n_bytes"))
+    return known.select("key", "seq", removed.cast("bigint").alias("n_bytes"))
 
 
 def file_offsets(log: DataFrame) -> DataFrame:

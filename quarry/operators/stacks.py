@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import prefix_sum
+from quarry.session import materialize
+
 #: Width of a drawing and of its two margins, in pixels.
 WIDTH, MARGINS = 1200, 20
 
@@ -37,18 +40,16 @@ def with_wakers(frames: Column, mark: str = "--") -> Column:
     return F.transform(frames, lambda f, i: F.when((first > 0) & (i >= first) & (f != mark), F.concat(f, F.lit("_[w]"))).otherwise(f))
 
 
-def layout(folded: DataFrame) -> DataFrame:
-    """folded with start and end on the running sum of n in the order of frame arrays.
+def _ranges(folded: DataFrame) -> DataFrame:
+    """folded in ranges of the order of frame arrays, numbered in column _part, one task each whatever frames are common."""
+    parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(folded.repartitionByRange(parts, "frames").withColumn("_part", F.spark_partition_id()), "ranges")
 
-    The sum runs inside first frames; their totals, one row each, are accumulated to carry over.
-    """
-    first = F.coalesce(F.try_element_at("frames", F.lit(1)), F.lit(""))
-    rows = folded.withColumn("root", first)
-    totals = rows.groupBy("root").agg(F.sum("n").alias("t"))
-    carry = totals.select(F.col("root").alias("r"), (F.sum("t").over(Window.orderBy("root")) - F.col("t")).alias("c"))
-    inside = F.sum("n").over(Window.partitionBy("root").orderBy("frames").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = rows.withColumn("w", inside).join(carry, F.col("root") == F.col("r"))
-    return joined.select("frames", "n", (F.col("w") + F.col("c") - F.col("n")).alias("start"), (F.col("w") + F.col("c")).alias("end"))
+
+def layout(folded: DataFrame) -> DataFrame:
+    """folded with start and end on the running sum of n in the order of frame arrays."""
+    summed = prefix_sum(_ranges(folded), "_part", ["frames"], "n", "end")
+    return summed.select("frames", "n", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def prefixes(frames: Column) -> Column:
@@ -72,6 +73,26 @@ def prune(tree: DataFrame, pixels: float | None = None, percent: float | None =
     return tree.crossJoin(F.broadcast(total)).filter(F.col("end") - F.col("start") >= least).drop("total")  # one row
 
 
+def common_prefix(folded: DataFrame) -> DataFrame:
+    """folded with shared: how many leading frames a stack has in common with the one before it in the layout."""
+    rows = _ranges(folded)
+    tails = rows.groupBy("_part").agg(F.max("frames").alias("tail"))
+    carried = tails.select(F.col("_part").alias("p"), F.lag("tail").over(Window.orderBy("_part")).alias("carried"))
+    inside = F.lag("frames").over(Window.partitionBy("_part").orderBy("frames"))
+    rows = rows.withColumn("inside", inside).join(carried, F.col("_part") == F.col("p")).withColumn("before", F.coalesce("inside", "carried"))
+    same = F.transform(F.arrays_zip(F.col("frames").alias("a"), F.col("before").alias("b")), lambda x: x["a"].eqNullSafe(x["b"]))
+    first_other = F.array_position(same, False)
+    shared = F.when(F.col("before").isNull(), 0).when(first_other > 0, first_other - 1).otherwise(F.size("frames"))
+    return rows.select("frames", "n", shared.cast("int").alias("shared"))
+
+
+def with_attributes(tree: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Nodes with the attributes(name, attributes) of their frame, an empty map where there are none."""
+    frame = F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(""))
+    joined = tree.join(attributes, frame == F.col("name"), "left")
+    return joined.withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>"))).drop("name")
+
+
 def differences(pairs: DataFrame) -> DataFrame:
     """path, delta of pairs(frames, n1, n2): second count less first, on the leaf node of each stack only."""
     return pairs.groupBy(F.col("frames").alias("path")).agg(F.sum(F.coalesce("n2", F.lit(0)) - F.coalesce("n1", F.lit(0))).alias("delta"))

@@ -1,9 +1,13 @@
-"""A binary record log: 16-byte little-endian header (timestamp, expiry, key size, value size), value, key."""
+"""Binary record files.
+
+A log has a 16-byte little-endian header (timestamp, expiry, key size, value size), the value and the key of each record.
+A sorted run has two lengths, each a zigzag varint in 8 bytes, the key and the value.
+"""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,22 +34,67 @@ def decode(data: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         at = end
 
 
+def varint(n: int) -> bytes:
+    """A length as a zigzag varint, filled up to 8 bytes."""
+    n, out = n << 1, bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n]).ljust(8, b"\0")
+
+
+def from_varint(data: bytes) -> int:
+    """The length that varint() wrote."""
+    n = 0
+    for shift, byte in enumerate(data):
+        n |= (byte & 127) << 7 * shift
+        if byte < 128:
+            return n >> 1
+    raise ValueError("a varint without an end")
+
+
+def encode_run(records: list[tuple[bytes, bytes]]) -> bytes:
+    """Records (key, value), sorted by key, as the bytes of a run."""
+    return b"".join(varint(len(k)) + varint(len(v)) + k + v for k, v in sorted(records))
+
+
+def decode_run(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """(offset, key, value) of a run, or of the block of it between two offsets of a sparse index."""
+    end = len(data) if end is None else end
+    while start + HEADER_SIZE <= end:
+        key_size, value_size = from_varint(data[start : start + 8]), from_varint(data[start + 8 : start + 16])
+        at = start + HEADER_SIZE
+        yield start, data[at : at + key_size], data[at + key_size : at + key_size + value_size]
+        start = at + key_size + value_size
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, file_offset, key, value, tombstone of the run files below a path; run_id is the number in a file's name."""
+    rows = _decoded(spark, path, lambda data: ((o, 0, k, v) for o, k, v in decode_run(data)))
+    return rows.select(F.col("file_id").alias("run_id"), "file_offset", F.col("key").cast("string"), F.col("value").cast("string"), (F.octet_length("value") == 0).alias("tombstone"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file_id, seq, file_offset, ts, key, value, tombstone of the files N.* below a path, file by file in parallel.
 
     seq orders records by the number in the file's name and then by offset; an empty value deletes, as in the format.
     """
+    rows = _decoded(spark, path, lambda data: ((o, ts, k, v) for o, ts, _, k, v in decode(data)))
+    return rows.select("file_id", (F.col("file_id") * F.lit(1 << 32) + F.col("file_offset")).alias("seq"), "file_offset", "ts",
+                       F.col("key").cast("string"), F.col("value").cast("string"), (F.octet_length("value") == 0).alias("tombstone"))
+
+
+def _decoded(spark: SparkSession, path: str, decoder: Callable[[bytes], Iterable[tuple[int, int, bytes, bytes]]]) -> DataFrame:
+    """file_id, file_offset, ts, key, value of whole files, one file at a time in a task; files are cut to a size by their writers."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(decode(content.as_py()))
+                rows = list(decoder(content.as_py()))
                 file_id = int("".join(c for c in name.rpartition("/")[2].partition(".")[0] if c.isdigit()) or 0)
-                columns = [[file_id] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows], [r[4] for r in rows]]
+                columns = [[file_id] * len(rows), *([r[k] for r in rows] for k in range(4))]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file_id", "file_offset", "ts", "key", "value"])
 
-    rows = files.mapInArrow(run, "file_id long, file_offset long, ts long, key binary, value binary")
-    return rows.select("file_id", (F.col("file_id") * F.lit(1 << 32) + F.col("file_offset")).alias("seq"), "file_offset", "ts",
-                       F.col("key").cast("string"), F.col("value").cast("string"), (F.octet_length("value") == 0).alias("tombstone"))
+    return files.mapInArrow(run, "file_id long, file_offset long, ts long, key binary, value binary")

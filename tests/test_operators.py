@@ -48,7 +48,8 @@ def test_empty_value_is_a_value(spark):
 
 def test_delete_gives_back_bytes_once(spark):
     ops = [("a", "val"), ("a", None), ("a", None), ("missing", None)]
-    assert [r.n_bytes for r in keyedlog.deleted_bytes(log_of(spark, ops)).orderBy("seq").collect()] == [19, 0, 0]
+    for chunk in (1, 2, 1000):
+        assert [r.n_bytes for r in keyedlog.deleted_bytes(log_of(spark, ops), chunk).orderBy("seq").collect()] == [19, 0, 0]
 
 
 def test_compaction_keeps_the_latest(spark):
@@ -203,6 +204,10 @@ def test_flame_nodes_and_search(spark):
     assert {";".join(r.path) for r in stacks.zoom(tree, ["a", "x"]).collect()} == {"", "a", "a;x", "a;x;b"}
     assert stacks.prune(tree, percent=25).count() == 3
     assert stacks.prune(tree, pixels=300).count() == 3
+    shared = {";".join(r.frames): r.shared for r in stacks.common_prefix(folded).collect()}
+    assert shared == {"a": 0, "a;b": 1, "a;x;b": 1, "a-b": 0}
+    notes = spark.createDataFrame([("x", {"href": "y"})], "name string, attributes map<string,string>")
+    assert {";".join(r.path): r.attributes for r in stacks.with_attributes(tree, notes).collect() if r.attributes} == {"a;x": {"href": "y"}}
     frames = spark.createDataFrame([(["a", "--", "b", "c"],)], "f array<string>").select(stacks.with_wakers(F.col("f")).alias("f"))
     assert frames.first().f == ["a", "--", "b_[w]", "c_[w]"]
 
@@ -221,13 +226,22 @@ def test_measurement_text(spark, tmp_path):
 
 
 def test_binary_log(spark, tmp_path):
-    (tmp_path / "2.keg").write_bytes(binarylog.encode([(1, 0, b"a", b"old"), (2, 0, b"b", b"x")]))
-    (tmp_path / "10.keg").write_bytes(binarylog.encode([(3, 0, b"a", b"new"), (4, 0, b"b", b"")]) + b"\0\0")
-    rows = binarylog.read(spark, f"{tmp_path}/*.keg")
+    (tmp_path / "2.log").write_bytes(binarylog.encode([(1, 0, b"a", b"old"), (2, 0, b"b", b"x")]))
+    (tmp_path / "10.log").write_bytes(binarylog.encode([(3, 0, b"a", b"new"), (4, 0, b"b", b"")]) + b"\0\0")
+    rows = binarylog.read(spark, f"{tmp_path}/*.log")
     assert as_dict(keyedlog.snapshot(rows)) == {"a": "new"}
     assert rows.filter("file_id = 2").orderBy("seq").select("file_offset").collect()[1][0] == 20
 
 
+def test_run_files(spark, tmp_path):
+    data = binarylog.encode_run([(b"b", b""), (b"a", b"x" * 300), (b"c", b"3")])
+    (tmp_path / "run-3.data").write_bytes(data)
+    assert [binarylog.from_varint(binarylog.varint(n)) for n in (0, 1, 63, 64, 300, 1 << 40)] == [0, 1, 63, 64, 300, 1 << 40]
+    found = binarylog.read_runs(spark, str(tmp_path)).orderBy("key").collect()
+    assert [(r.run_id, r.key, len(r.value), r.tombstone) for r in found] == [(3, "a", 300, False), (3, "b", 0, True), (3, "c", 1, False)]
+    assert [k for _, k, _ in binarylog.decode_run(data, found[1].file_offset, found[2].file_offset)] == [b"b"]
+
+
 def test_generators_repeat(spark):
     one, two = (generators.measurements(spark, 500, ["x", "y", "x"], seed=3).collect() for _ in range(2))
     assert one == two and {r.key for r in one} == {"x", "y"}
