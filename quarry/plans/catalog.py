@@ -622,7 +622,7 @@ def gen_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.key_stats(generators.measurements(spark, 10_000, names), "key", "value")
 
 
-@query("SELECT cents, n, sum(n) OVER (ORDER BY cents) AS running FROM (SELECT CAST(round(value * 100) AS BIGINT) AS cents, count(*) AS n FROM events GROUP BY 1)")
+@query("SELECT cents, n, CAST(sum(n) OVER (ORDER BY cents) AS BIGINT) AS running FROM (SELECT CAST(round(value * 100) AS BIGINT) AS cents, count(*) AS n FROM events GROUP BY 1)")
 def running_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative counts of values, summed by bucket before they are accumulated."""
     from quarry.operators.ordered import prefix_sum
