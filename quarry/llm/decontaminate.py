@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space. Bytes over 127 stay.
 FOLD = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Bytes of item text indexed at a time; larger benchmarks go through the documents in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text indexed at a time, which takes some 150 MB; larger benchmarks meet the documents in several blocks.
+BLOCK_BYTES = 2 << 20
 
 Words = tuple[bytes, ...]
 

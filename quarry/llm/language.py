@@ -102,14 +102,14 @@ def bucket(id_col: str, n: int) -> Column:
 
 
 def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_docs: int = 300, max_languages: int = 200, pieces_per_language: int = 20_000, hidden: int = 16, steps: int = 700, seed: int = 0) -> Model:
+        max_docs: int = 300, max_languages: int = 200, pieces_per_language: int = 20_000, max_chars: int = 200_000, hidden: int = 16, steps: int = 700, seed: int = 0) -> Model:
     """A model from at most max_docs labelled documents of each of the max_languages most frequent languages.
 
     train: a condition over docs that chooses the rows to learn from. The sample is that of the least hashes of the
     text; each language gives pieces_per_language pieces, drawn with repetition from all pieces of its sample. Null texts
-    and languages are left out; ids only decide train.
+    and languages, and texts over max_chars, are left out of the sample; ids only decide train.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
     rows = rows.filter(train) if train is not None else rows
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
