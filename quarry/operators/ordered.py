@@ -41,15 +41,24 @@ def prefix_sum(df: DataFrame, bucket: str, order: list[str], value: str, name: s
     return joined.withColumn(name, total).drop("_w", "_b", "_c")
 
 
-def rolling(df: DataFrame, position: str, frame: int, columns: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """df with aggregates over the last `frame` rows, this one included, by a dense position.
+def dealt(df: DataFrame, position: str, frame: int, chunk: int = CHUNK) -> DataFrame:
+    """df with _chunk and _own, in chunks of a dense position: the last frame - 1 rows of a chunk also go to the next.
 
-    columns: name -> aggregate without a window. Rows are dealt in chunks of positions; the last frame - 1 rows of a
-    chunk also go to the next as context, so each task holds one chunk and its context, whatever the table's size.
+    There they are context: rows whose _chunk is not their _own. Each task holds chunks and their context, whatever the
+    table's size. Spark does not merge the partitions, as frames cost more than their bytes tell.
     """
     chunk = max(chunk, frame)
-    own = F.expr(f"{position} div {chunk}")
     last = F.expr(f"pmod({position}, {chunk}) >= {chunk - frame + 1}")
-    dealt = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(last, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    rows = df.withColumn("_own", F.expr(f"{position} div {chunk}"))
+    rows = rows.withColumn("_chunk", F.explode(F.when(last, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_chunk")
+
+
+def rolling(df: DataFrame, position: str, frame: int, columns: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """df with aggregates over the last `frame` rows, this one included, by a dense position.
+
+    columns: name -> aggregate without a window.
+    """
     over = Window.partitionBy("_chunk").orderBy(position).rowsBetween(1 - frame, Window.currentRow)
-    return dealt.withColumns({k: c.over(over) for k, c in columns.items()}).filter("_chunk = _own").drop("_own", "_chunk")
+    rows = dealt(df, position, frame, chunk).withColumns({k: c.over(over) for k, c in columns.items()})
+    return rows.filter("_chunk = _own").drop("_own", "_chunk")

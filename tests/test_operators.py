@@ -159,6 +159,15 @@ def test_ordered_helpers_need_no_global_window(spark):
     assert all(roll[i] == (sum(values[max(0, i - 29) : i + 1]), min(30, i + 1)) for i in range(700))
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.3, 0.95])
+def test_rolling_quantile_is_sparks_percentile(spark, ratio):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, rng.randrange(50)) for i in range(500)], "seq bigint, pos int")
+    found = shedder.thresholds(rows, ratio, frame=40, chunk=64).select("seq", "threshold")
+    exact = ordered.rolling(rows, "seq", 40, {"exact": F.percentile(F.col("pos").cast("double"), F.lit(ratio))}, chunk=100)
+    assert found.join(exact, "seq").filter("threshold <=> exact").count() == 500
+
+
 def test_strict_threshold(spark):
     rows = spark.createDataFrame([(i, 5) for i in range(10)], "seq bigint, pos int")
     assert shedder.thresholds(rows, 0.0).filter("admitted").count() == 0
