@@ -19,7 +19,7 @@ from quarry.session import materialize
 SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)|[^\n]+")
 #: Words of a sentence at most; longer ones are cut, so that text without full stops has sentences too.
 LONGEST = 16
-#: A run has at least so many sentences and so many words, and is the shortest such one from its first sentence.
+#: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 20
 
 
@@ -48,13 +48,20 @@ def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
 
 
 def runs(words: list[list[bytes]], least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, end, signed hash) of each run; a first sentence too near the end of the text starts none."""
-    total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    ends = np.maximum(np.searchsorted(total, total[:-1] + least_words), np.arange(len(words)) + least_sentences)
+    """(first sentence, end, signed hash) of each run that is the shortest one from its first or to its last sentence.
+
+    So the sentences of a repeated passage that has any such run are covered from its first whole one to its last.
+    """
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    firsts = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + least_words), firsts + least_sentences)
+    lasts = np.arange(1, n + 1)
+    starts = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, lasts - least_sentences)
+    pairs = np.concatenate([np.stack([firsts, ends], 1)[ends <= n], np.stack([starts, lasts], 1)[starts >= 0]])
     lines = [b" ".join(w) for w in words]
-    for i, j in enumerate(ends.tolist()):
-        if j > len(words):
-            break
+    for code in np.unique(pairs[:, 0] * (n + 1) + pairs[:, 1]).tolist():
+        i, j = divmod(code, n + 1)
         yield i, j, xxhash.xxh64_intdigest(b" ".join(lines[i:j])) - (1 << 63)
 
 

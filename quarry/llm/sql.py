@@ -153,10 +153,10 @@ s AS (
     row_number() OVER (PARTITION BY doc_id ORDER BY line, piece, cut) - 1 AS i
   FROM spoken),
 through AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM s),
-ends AS (
-  SELECT a.doc_id, a.i, min(b.i) AS j FROM through a
-  JOIN through b ON a.doc_id = b.doc_id AND b.i >= a.i + {spans.SENTENCES - 1} AND b.total >= a.before + {spans.WORDS} AND b.i < a.i + {spans.SENTENCES + spans.WORDS}
-  GROUP BY a.doc_id, a.i),
+long AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM through a
+  JOIN through b ON a.doc_id = b.doc_id AND b.i >= a.i + {spans.SENTENCES - 1} AND b.total >= a.before + {spans.WORDS} AND b.i < a.i + {spans.SENTENCES + spans.WORDS}),
+ends AS (SELECT doc_id, i, min(j) AS j FROM long GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM long GROUP BY doc_id, j),
 runs AS (
   SELECT e.doc_id, e.i, e.j, string_agg(s.body, ' ' ORDER BY s.i) AS run
   FROM ends e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY e.doc_id, e.i, e.j),
