@@ -549,6 +549,16 @@ def stack_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("frames", ";").alias("stack"), "n")
 
 
+@query(
+    f"WITH {_FOLDED}, l AS (SELECT frames, n, lag(frames) OVER (ORDER BY frames) AS b FROM folded)"
+    " SELECT array_to_string(frames, ';') AS path, n, CAST((SELECT count(*) FROM range(1, len(frames) + 1) t(k) WHERE list_slice(frames, 1, k) = list_slice(b, 1, k) AND k <= len(b)) AS INTEGER) AS shared FROM l"
+)
+def stack_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading frames that each stack shares with the one before it."""
+    found = stacks.common_prefix(_folded(spark, sf_dir))
+    return found.select(F.array_join("frames", ";").alias("path"), "n", "shared")
+
+
 @query(f"WITH {_NODES} SELECT {_ROLES} AS path, depth, CAST(value AS BIGINT) AS value, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", round(100.0 * value / (SELECT sum(n) FROM folded), 2) AS percent FROM nodes")
 def flame_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prefixes as nodes on one axis."""
