@@ -336,3 +336,22 @@ def test_files_by_extension(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     found = {r.ext: (r.n, r.bytes, float(r.percent)) for r in aggregate.files_by_extension(text.file_listing(spark, str(tmp_path))).collect()}
     assert found == {"txt": (2, 40, 40.0), "log": (1, 60, 60.0)}
+
+
+def test_idle_shards_expire(spark, tmp_path):
+    import time
+
+    rows = [(i, f"k{i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, "seq bigint, key string").coalesce(1).write.parquet(str(tmp_path / "a"))
+    seen = []
+    stream = pipelines.lru_stream(pipelines.file_stream(spark, str(tmp_path / "a")), 2, 1, ttl_ms=200)
+    query = stream.writeStream.outputMode("append").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(60):
+            if any(r.seq is None for r in seen):
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [r.seq for r in seen if r.seq is not None] == list(range(9))
+    assert sorted(r.evicted for r in seen if r.seq is None) == ["k1", "k2"]
