@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space. Bytes over 127 stay.
 FOLD = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Bytes of item text indexed at a time, which takes some 150 MB; larger benchmarks meet the documents in several blocks.
@@ -160,16 +163,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return go
 
     marked = rows.select("id", F.xxhash64("text").alias("mark"), "text")
-    parts = None
-    for k, items in enumerate(_blocks(benchmark, item_id_col, item_text_col, block_bytes)):
+    first, later = None, []
+    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
         index = build_index(rows, items, "text", window, shingle)
-        found = marked.mapInArrow(run(index, k == 0), schema)
-        parts = found if parts is None else parts.unionByName(found.dropDuplicates(["id", "mark"]).withColumn("n_words", F.lit(None).cast("long")))
-        if k == 0:
-            first = found
-    if k == 0:
+        if first is None:
+            first = marked.mapInArrow(run(index, every=True), schema)
+        else:
+            later.append(materialize(marked.mapInArrow(run(index, every=False), schema), "hits"))
+    if not later:
         return first.drop("mark")
-    more = parts.filter("n_words IS NULL").groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("t"))
+    more = reduce(DataFrame.unionByName, later).groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.flatten(F.collect_set("spans")).alias("s"), F.flatten(F.collect_set("items")).alias("t"))
     both = first.join(more, F.col("id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m")), "left")
     united = [F.array_sort(F.array_distinct(F.concat(a, F.coalesce(b, F.slice(a, 1, 0))))).alias(a) for a, b in (("spans", "s"), ("items", "t"))]
     return both.select("id", "n_words", *united)
@@ -192,6 +195,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return go
 
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        kept = kept.mapInArrow(run(build_index(kept, items, text_col, window, shingle)), docs.schema)
+    for k, items in enumerate(_blocks(benchmark, item_id_col, item_text_col, block_bytes)):
+        kept = materialize(kept, "clean") if k else kept  # one index in a task at a time
+        kept = kept.mapInArrow(run(build_index(docs, items, text_col, window, shingle)), docs.schema)
     return kept
