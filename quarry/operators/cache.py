@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accesses of a chunk that one task replays.
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 class LRU:

@@ -371,8 +371,8 @@ def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT seq, CAST(key AS VARCHAR) AS key, hit FROM h"
 )
 def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a cache of eight keys, replayed chunk by chunk."""
-    return cache.replay(_accesses(spark, sf_dir), CAPACITY, chunk=2000).select("seq", "key", "hit")
+    """Hits of a cache of eight keys, replayed by chunks."""
+    return cache.replay(_accesses(spark, sf_dir), CAPACITY).select("seq", "key", "hit")
 
 
 @query()
