@@ -21,6 +21,8 @@ PIECE = 24
 BATCH = 4096
 #: Pieces gathered from documents before the network runs over the distinct ones.
 GATHERED = 400_000
+#: Positions that count as independent at most when a document's mean log-probabilities become its score.
+INDEPENDENT = 20.0
 #: Lower-cases A-Z; ASCII that is no letter becomes a space. Bytes over 127 stay.
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -91,7 +93,7 @@ class Model:
             times = np.fromiter(counts.values(), np.float64, len(counts))
             positions = times @ np.fromiter(map(len, counts), np.float64, len(counts))
             mean = times @ evidence[at] / max(1.0, positions)
-            p = np.exp((mean - mean.max()) * min(positions, 20.0))
+            p = np.exp((mean - mean.max()) * min(positions, INDEPENDENT))
             best = int(p.argmax())
             langs[i], scores[i] = self.languages[best], float(p[best] / p.sum())
 
