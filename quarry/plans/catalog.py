@@ -375,7 +375,12 @@ def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.replay(_accesses(spark, sf_dir), CAPACITY).select("seq", "key", "hit")
 
 
-@query()
+@query(
+    "WITH e AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::UBIGINT % 16 AS BIGINT) AS shard FROM events),"
+    " a AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS p FROM e),"
+    f" h AS (SELECT shard, p IS NOT NULL AND (SELECT count(DISTINCT b.key) FROM a b WHERE b.shard = a.shard AND b.seq > a.p AND b.seq < a.seq) < {CAPACITY} AS hit FROM a)"
+    " SELECT shard, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate FROM h GROUP BY shard"
+)
 def lru_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit statistics of sixteen shards of eight keys."""
     return cache.statistics(cache.replay_sharded(_accesses(spark, sf_dir), placement.shard(F.col("key"), 16), CAPACITY), "shard")
@@ -468,11 +473,11 @@ def latency_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shedder.latency_quantile(rows, ["day"], "value", 0.9).withColumnRenamed("quantile", "p90")
 
 
-@query()
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, quantile_disc(value, 0.9) AS p90, count(*) AS n, min(value) AS least FROM events GROUP BY 1")
 def latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a sketch of bounded size."""
+    """The same by a sketch of bounded size, which is exact while a group has fewer rows than its accuracy."""
     rows = load(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    return shedder.latency_quantile(rows, ["day"], "value", 0.9, accuracy=1000).withColumnRenamed("quantile", "p90")
+    return shedder.latency_quantile(rows, ["day"], "value", 0.9, accuracy=10_000).withColumnRenamed("quantile", "p90")
 
 
 @query(
@@ -486,7 +491,18 @@ def latency_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shedder.rolling_covariance(found, "hour", "quantile", "rate").select("hour", F.col("quantile").alias("p90"), F.round("cov", 6).alias("cov"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE m AS (SELECT event_id AS seq, CAST(floor(epoch(ts)) AS DOUBLE) AS t, value FROM events),"
+    " r AS (SELECT seq, t, value, 0::BIGINT AS number, 1::BIGINT AS n, t AS began FROM m WHERE seq = 0 UNION ALL"
+    "  SELECT m.seq, m.t, m.value, CASE WHEN r.n > 250 AND r.t - r.began > 3 THEN r.number + 1 ELSE r.number END,"
+    "   CASE WHEN r.n > 250 AND r.t - r.began > 3 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n > 250 AND r.t - r.began > 3 THEN m.t ELSE r.began END FROM r JOIN m ON m.seq = r.seq + 1),"
+    " q AS (SELECT number, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.5) AS p50, min(value) AS least, count(*) AS n FROM r GROUP BY number),"
+    " c AS (SELECT *, covar_samp(n / p90, p90) OVER (ORDER BY number ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS cov, p50 / nullif(least, 0) AS slow FROM q),"
+    " l AS (SELECT -1::BIGINT AS number, 50::BIGINT AS lim UNION ALL"
+    "  SELECT number, greatest(10, mid + CASE WHEN slow < -2 * log10(mid / 100.0) THEN 1 WHEN slow > -4 * log10(mid / 100.0) THEN -1 ELSE 0 END)"
+    "  FROM (SELECT c.number, c.slow, CASE WHEN c.cov < 0 THEN greatest(10, l.lim - 1) ELSE l.lim END AS mid FROM l JOIN c ON c.number = l.number + 1))"
+    ' SELECT number AS "interval", p90, p50, least, n, lim AS "limit" FROM q JOIN l USING (number)'
+)
 def latency_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals closed by count and time, their 90th percentile, and the limit that a tuner sets after each."""
     rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("latency"))
