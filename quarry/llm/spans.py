@@ -98,7 +98,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     take no part; rows with equal ids count as one text, their positions in it united: make ids unique first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text")).filter("key IS NOT NULL")
-    found = _occurrences(rows, least_sentences, least_words)
+    found = materialize(_occurrences(rows, least_sentences, least_words), "runs")
     place = F.struct("key", "first")
     counted = found.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("place"))
     again = materialize(counted.filter("times > 1").select("hash", F.col("place.key").alias("k"), F.col("place.first").alias("f")), "repeated")
