@@ -21,6 +21,8 @@ SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)|[^\n]+")
 LONGEST = 16
 #: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 20
+#: Twice the sentences of a run, and one, are less; a run is no longer than its least sentences or words.
+PLACE = 1 << 20
 
 
 def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
@@ -66,45 +68,49 @@ def runs(words: list[list[bytes]], least_sentences: int, least_words: int) -> It
 
 
 def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """hash, key, first, n: one row for each run of each row(key, text)."""
+    """hash, key, place: one row for each run of each row(key, text).
+
+    place holds the first sentence, the number of sentences and whether the text has had the run before, in one number.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, keys, firsts, sizes = [], [], [], []
+            hashes, keys, places = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen: set[int] = set()
                 for i, j, h in runs(sentences(text.as_py() or b"")[1], least_sentences, least_words):
                     hashes.append(h)
                     keys.append(key)
-                    firsts.append(i)
-                    sizes.append(j - i)
+                    places.append(i * PLACE + 2 * (j - i) + (h in seen))
+                    seen.add(h)
                 if len(hashes) > 100_000:
-                    yield out(hashes, keys, firsts, sizes)
-                    hashes, keys, firsts, sizes = [], [], [], []
-            yield out(hashes, keys, firsts, sizes)
+                    yield out(hashes, keys, places)
+                    hashes, keys, places = [], [], []
+            yield out(hashes, keys, places)
 
-    def out(hashes: list, keys: list, firsts: list, sizes: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32())], ["hash", "key", "first", "n"])
+    def out(*columns: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place"])
 
-    return rows.mapInArrow(go, "hash long, key long, first int, n int")
+    return rows.mapInArrow(go, "hash long, key long, place long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """id, sentences, first_id: positions of the sentences that non-first repeated runs cover, and the least id where one is first.
 
-    Rows without any are left out.
-    Of a run's occurrences the first is that of the smallest id, and of that the first in its text; all others lose
-    the run's sentences. Runs are counted map-side before they are dealt by hash, so a passage in a third of the rows
-    gives one row a task; only occurrences of repeated runs are joined, and Spark splits a hot one. Null ids and texts
-    take no part; rows with equal ids count as one text, their positions in it united: make ids unique first.
+    Rows without any are left out. Of a run's occurrences the first is that of the smallest id, and of that the first in
+    its text; all others lose the run's sentences. Runs are counted map-side before they are dealt by hash, so a passage
+    in a third of the rows gives one row a task; only occurrences of repeated runs are joined, and Spark splits a hot
+    one. Null ids and texts take no part. Rows with equal ids are not copies of each other, and their positions are
+    united: make ids unique first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text")).filter("key IS NOT NULL")
     found = materialize(_occurrences(rows, least_sentences, least_words), "runs")
-    place = F.struct("key", "first")
-    counted = found.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("place"))
-    again = materialize(counted.filter("times > 1").select("hash", F.col("place.key").alias("k"), F.col("place.first").alias("f")), "repeated")
-    later = found.join(again, "hash").filter((F.col("key") != F.col("k")) | (F.col("first") != F.col("f")))
-    covered = later.select("key", "k", F.explode(F.expr("sequence(first, first + n - 1)")).alias("at"))
-    return covered.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("k").alias("first_id"))
+    counted = found.groupBy("hash").agg(F.count("*").alias("times"), F.min("key").alias("home"))
+    again = materialize(counted.filter("times > 1").select("hash", "home"), "repeated")
+    later = found.join(again, "hash").filter((F.col("key") != F.col("home")) | (F.col("place") % 2 == 1))
+    sentence = F.expr(f"sequence(place div {PLACE}, place div {PLACE} + (place % {PLACE}) div 2 - 1)")
+    covered = later.select("key", "home", F.explode(sentence).alias("at"))
+    return covered.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("home").alias("first_id"))
 
 
 def remove(text: bytes, positions: list[int]) -> bytes:
