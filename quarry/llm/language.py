@@ -21,8 +21,6 @@ PIECE = 24
 BATCH = 4096
 #: Pieces gathered from documents before the network runs over the distinct ones.
 GATHERED = 400_000
-#: Positions that count as independent at most when a document's mean log-probabilities become its score.
-INDEPENDENT = 20.0
 #: Lower-cases A-Z; ASCII that is no letter becomes a space. Bytes over 127 stay.
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -48,7 +46,7 @@ class Model:
     network: BiGRU | None
 
     def evidence(self, distinct: list[bytes]) -> np.ndarray:
-        """For each piece the log-probabilities summed over its positions; equal lengths run together, unpadded."""
+        """For each piece its languages' probabilities summed over its positions; equal lengths run together, unpadded."""
         out = np.zeros((len(distinct), len(self.languages)))
         length = np.fromiter(map(len, distinct), np.int64, len(distinct))
         order = np.argsort(length, kind="stable")
@@ -57,12 +55,13 @@ class Model:
             for lo in range(0, len(own), BATCH):
                 some = own[lo : lo + BATCH]
                 x = np.frombuffer(b"".join([distinct[i] for i in some]), np.uint8).reshape(-1, size)
-                out[some] = self.network.log_probabilities(x).sum(axis=0)
+                out[some] = np.exp(self.network.log_probabilities(x)).sum(axis=0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each whole text: per-position log-probabilities averaged over the document.
+        """Language and score of each whole text: its positions' probabilities, averaged; the largest mean decides.
 
+        A passage in another language weighs as its length, however plain it is.
         Equal pieces give equal evidence, so each distinct one goes through the network once and counts as often as
         it occurs.
         """
@@ -92,10 +91,9 @@ class Model:
             at = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
             times = np.fromiter(counts.values(), np.float64, len(counts))
             positions = times @ np.fromiter(map(len, counts), np.float64, len(counts))
-            mean = times @ evidence[at] / max(1.0, positions)
-            p = np.exp((mean - mean.max()) * min(positions, INDEPENDENT))
+            p = times @ evidence[at] / positions
             best = int(p.argmax())
-            langs[i], scores[i] = self.languages[best], float(p[best] / p.sum())
+            langs[i], scores[i] = self.languages[best], float(min(1.0, p[best]))
 
 
 def bucket(id_col: str, n: int) -> Column:
