@@ -81,7 +81,7 @@ def cell_keys(counts: np.ndarray, max_distance: int, groups: int, base: int) ->
     return np.stack(columns, axis=1)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars that connect what the links a-b connect: each node but the least of its component, and that least one."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     left, right = ends[: len(a)], ends[len(a) :]
@@ -145,7 +145,7 @@ def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups:
         yield out(keys, fps)
 
     def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        u, v = _forest(*_cell_links(keys, fps, max_distance, segments))
+        u, v = forest(*_cell_links(keys, fps, max_distance, segments))
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     cells = points.select("fp").mapInArrow(place, "cell long, fp long")
@@ -169,15 +169,36 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(materialize(classes, "classes"), "fp").select("id", "fp", "component_id")
 
 
+def mark_rows(docs: DataFrame) -> DataFrame:
+    """docs with a hash over all columns, 64 bits and 32 of another seed: _q_a, _q_b."""
+    names = docs.columns
+    mark = [F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_q_a"), F.hash(*[F.col(f"`{c}`") for c in names]).alias("_q_b")]
+    return docs.select("*", *mark)
+
+
+def keep_least(docs: DataFrame, marked: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component of roots(fp, root) one row of docs, by rows(_q_a, _q_b, _q_id, fp); see keep_one."""
+    names = docs.columns
+    best = F.min(F.struct(F.col("_q_id").isNull(), "_q_id", "_q_a", "_q_b"))
+    by_fp = rows.groupBy("fp").agg(best.alias("best"))
+    kept = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    keys = kept.select("best._q_a", "best._q_b", F.col("best._q_id").alias("_q_id"))
+    counts = rows.groupBy("_q_a", "_q_b", "_q_id").agg(F.count("*").alias("_q_n"))
+    same = counts["_q_a"].eqNullSafe(keys["_q_a"]) & counts["_q_b"].eqNullSafe(keys["_q_b"]) & counts["_q_id"].eqNullSafe(keys["_q_id"])
+    chosen = materialize(counts.join(keys, same, "left_semi").select("_q_a", "_q_b", "_q_n"), "kept")
+    found = marked.join(chosen, ["_q_a", "_q_b"])
+    once = found.filter("_q_n = 1").select(*[F.col(f"`{c}`") for c in names])
+    again = found.filter("_q_n > 1").dropDuplicates(["_q_a", "_q_b"]).select(*[F.col(f"`{c}`") for c in names])
+    return once.unionByName(again)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, with its columns as they are.
 
     Of several rows with that id, one with the least hash over all columns stays; of rows equal in all columns, one.
     Null ids sort last. Rows are told apart by a hash over all columns, 64 bits from two seeds each.
     """
-    names = docs.columns
-    mark = [F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_q_a"), F.hash(*[F.col(f"`{c}`") for c in names]).alias("_q_b")]
-    marked = docs.select("*", *mark)
+    marked = mark_rows(docs)
     keyed = marked.select("_q_a", "_q_b", F.col(id_col).cast("long").alias("_q_id"), F.col(text_col).alias("_q_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +210,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows = materialize(slim, "fingerprints")
     points = materialize(rows.select("fp").distinct(), "points")
     roots = connected_components(links(points, max_distance)).withColumnRenamed("node", "fp")
-    best = F.min(F.struct(F.col("_q_id").isNull(), "_q_id", "_q_a", "_q_b"))
-    by_fp = rows.groupBy("fp").agg(best.alias("best"))
-    kept = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    keys = kept.select("best._q_a", "best._q_b", F.col("best._q_id").alias("_q_id"))
-    counts = rows.groupBy("_q_a", "_q_b", "_q_id").agg(F.count("*").alias("_q_n"))
-    same = counts["_q_a"].eqNullSafe(keys["_q_a"]) & counts["_q_b"].eqNullSafe(keys["_q_b"]) & counts["_q_id"].eqNullSafe(keys["_q_id"])
-    chosen = materialize(counts.join(keys, same, "left_semi").select("_q_a", "_q_b", "_q_n"), "kept")
-    found = marked.join(chosen, ["_q_a", "_q_b"])
-    once = found.filter("_q_n = 1").select(*[F.col(f"`{c}`") for c in names])
-    again = found.filter("_q_n > 1").dropDuplicates(["_q_a", "_q_b"]).select(*[F.col(f"`{c}`") for c in names])
-    return once.unionByName(again)
+    return keep_least(docs, marked, rows, roots)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import duck, same_rows  # noqa: E402
 
-from quarry.llm import boosting, components, decontaminate, gru, host_rules, language, licenses, mixing, pii, queries, sharding, simhash, spans, toxicity  # noqa: E402
+from quarry.llm import boosting, components, decontaminate, gru, host_rules, language, licenses, mixing, pii, queries, sharding, shingles, simhash, spans, toxicity  # noqa: E402
 from quarry.session import load  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -536,6 +536,59 @@ def test_pipeline_against_brute_force(spark, sf):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, now))
 
 
+def slow_similar(texts, words, least):
+    """Least index by text over links of pairs whose sets of shingles have that Jaccard similarity."""
+    sets = []
+    for t in texts:
+        found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            x, y = label[i], label[j]
+            if x != y and (a == b or 10 * len(a & b) >= least * len(a | b)):
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("group", [shingles.GROUP, 8])
+def test_near_dedup_stage_finds_every_similar_pair(spark, group, monkeypatch):
+    """Copies with so many changed words that they lie on both sides of 0.8, mostly over 3 bits apart."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "GROUP", group)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = [None, "", " \n", "One", "one  TWO", "ONE two", "a b c d e", "a b c d e f"]
+    for n in (30, 60, 200, 3000):
+        for _ in range(5):
+            base = [word() for _ in range(n)]
+            for changes in (0, 0, 1, n // 60, n // 50, n // 40, n // 30, n // 12):
+                copy = list(base)
+                for k in rng.sample(range(n), changes):
+                    copy[k] = word()
+                texts.append(" ".join(copy))
+    base = [word() for _ in range(50)]
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(50) for _ in range(2)]
+    ids = list(range(100, 100 + len(texts)))
+    rng.shuffle(ids)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    least, by_bits = {}, {}
+    for i, k, b in zip(ids, slow_similar(texts, 5, 8), classes([slow_fingerprint(t, 3) for t in texts])):
+        least[k], by_bits[b] = min(i, least.get(k, i)), min(i, by_bits.get(b, i))
+    kept = sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(least.values()) and kept != sorted(by_bits.values())
+
+
+def test_near_dedup_of_repeated_ids(spark, odd, none):
+    kept = shingles.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "5", "6", "None", "8", "9"])
+    same = spark.createDataFrame([(3, "a b c d e", "x")] * 4 + [(3, "a b c d e", "y")] * 2, "doc_id long, text string, lang string")
+    assert shingles.keep_one(same).count() == 1
+    assert shingles.keep_one(none).count() == 0
+
+
 def test_pipeline_over_awkward_rows(spark, odd, none, tmp_path):
     import corpus_pipeline
 
