@@ -37,8 +37,17 @@ SENTENCES = {
     "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl_program": "this program is free software",
+    "gpl_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl3_later": "either version 3 of the license or at your option any later version",
+    "gpl2_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2_later": "either version 2 of the license or at your option any later version",
+    "gpl_useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_details": "see the gnu general public license for more details",
     "mpl2_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2_form": "this source code form is subject to the terms of the mozilla public license v",
     "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "ccby4_ref": "licensed under cc by 4 0",
     "ccbysa4_ref": "licensed under cc by sa 4 0",
@@ -47,6 +56,14 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
+#: The pieces in which real GPL notices come, as sentences end at ; and : too: with and without the opening words and the warranty.
+_GPL = tuple(
+    (f"GPL-{v}.0-or-later", (*opening, *terms, *warranty))
+    for opening in (("gpl_program",), ())
+    for warranty in (("gpl_useful", "gpl_implied", "gpl_details"), ())
+    for v in (3, 2)
+    for terms in ((f"gpl{v}_terms",), ("gpl_terms", f"gpl{v}_later"))
+)
 #: Licence rules in the order in which they are tried: the licence and the identifiers that must follow one another.
 RULES = (
     ("Apache-2.0", ("apache2_use", "apache2_comply", "apache2_copy", "apache2_asis", "apache2_see")),
@@ -62,8 +79,11 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_details")),
     ("GPL-3.0-or-later", ("gpl_free",)),
     ("GPL-2.0-or-later", ("gpl2_free",)),
+    *_GPL,
     ("MPL-2.0", ("mpl2_ref", "mpl2_copy")),
     ("MPL-2.0", ("mpl2_ref",)),
+    ("MPL-2.0", ("mpl2_form", "mpl2_copy")),
+    ("MPL-2.0", ("mpl2_form",)),
     ("Apache-2.0", ("apache2_use",)),
     ("Apache-2.0", ("apache2_ref",)),
     ("MIT", ("mit_ref",)),

@@ -93,6 +93,31 @@ def test_licence_sequences():
     assert r.identifiers(None) == (0, []) and r.identifiers(" . \n") == (0, [])
 
 
+@pytest.mark.parametrize("version, stop, comma", [(3, ":", ","), (2, ";", ";"), (2, ";", ","), (3, ";", ";")])
+def test_verbatim_gpl_notices(version, stop, comma):
+    r = licenses.Recogniser()
+    opening = f"This program is free software{stop} "
+    terms = (
+        "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+        f"the Free Software Foundation{comma} either version {version} of the License, or\n(at your option) any later version.\n\n"
+    )
+    warranty = (
+        "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    )
+    for text in (opening + terms + warranty, opening + terms, "The tool is free software; " + terms + warranty, "The tool is free software; " + terms):
+        n, found = r.identifiers(text)
+        assert r.licences(found) == [(f"GPL-{version}.0-or-later", text.startswith("The"), n - 1)]
+
+
+def test_verbatim_mpl_notice():
+    r = licenses.Recogniser()
+    ref = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    copy = " If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    assert r.licences(r.identifiers(ref + copy)[1]) == [("MPL-2.0", 0, 2)]
+    assert r.licences(r.identifiers(ref)[1]) == [("MPL-2.0", 0, 0)]
+
+
 def test_licences_of_documents_against_lines(spark, sf):
     """In the test data notices stand on lines of their own, so looking at lines finds the same."""
     known = licenses.Recogniser().identifier
