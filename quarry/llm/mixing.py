@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import numbered
 from quarry.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,44 +80,65 @@ def repetitions(rows: DataFrame, weights: DataFrame, max_epochs: int = 3) -> Dat
     return materialize(info.select("source", "source_size", "target", "whole", "last_h", "last_size", "part"), "repetitions")
 
 
+#: What repetitions() says of a source, under names that no table of documents should have.
+_INFO = {c: f"_q_{c}" for c in ("source", "source_size", "target", "whole", "last_h", "last_size", "part")}
+
+
 def taken(size: Column, h: Column, whole_documents: bool = False) -> Column:
-    """Words that the mix takes of a document, from its size and hash and its source's row of repetitions().
+    """Words that the mix takes of a document, from its size and hash and its source's row of repetitions() under _INFO.
 
     whole_documents rounds the one document at the boundary to a whole or none.
     """
-    below = (h < F.col("last_h")) | ((h == F.col("last_h")) & (size < F.col("last_size")))
-    at = (h == F.col("last_h")) & (size == F.col("last_size"))
-    part = F.when(F.col("part") * 2 >= size, size).otherwise(0) if whole_documents else F.col("part")
-    return (F.col("whole") * size + F.when(below, size).when(at, part).otherwise(0)).cast("long")
+    whole, last_h, last_size, part = (F.col(_INFO[c]) for c in ("whole", "last_h", "last_size", "part"))
+    below = (h < last_h) | ((h == last_h) & (size < last_size))
+    at = (h == last_h) & (size == last_size)
+    part = F.when(part * 2 >= size, size).otherwise(0) if whole_documents else part
+    return (whole * size + F.when(below, size).when(at, part).otherwise(0)).cast("long")
 
 
 def by_rank(sources: DataFrame, cycle: list[float]) -> DataFrame:
-    """Weights for the distinct values of column source: in code point order, null last, the cycle again and again."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (F.pmod(rank - 1, F.lit(len(cycle))) + 1).cast("int"))
-    return sources.select("source").distinct().select("source", weight.alias("weight"))
+    """Weights for the distinct values of column source: in code point order, null last, the cycle again and again.
+
+    Sources are numbered by ranges, so any number of them, such as one for each host, is spread over tasks.
+    """
+    ranked = numbered(sources.select("source").distinct(), [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (F.pmod("rank", F.lit(len(cycle))) + 1).cast("int"))
+    return materialize(ranked.select("source", weight.alias("weight")), "weights")
 
 
-def mix(rows: DataFrame, weights: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """rows(source, size, h, more) with source_size, target and taken. Empty tables give an empty result."""
-    info = repetitions(rows, weights, max_epochs).withColumnRenamed("source", "_q_source")
+def _with_info(rows: DataFrame, source: Column, weighed: DataFrame, weights: DataFrame, max_epochs: int) -> DataFrame:
+    """rows with what repetitions() says of their source; weighed(source, size, h) are all documents."""
+    info = repetitions(weighed, weights, max_epochs).select(*[F.col(c).alias(name) for c, name in _INFO.items()])
     info = F.broadcast(info) if info.count() <= BROADCAST_SOURCES else info
-    joined = rows.join(info, rows["source"].eqNullSafe(info["_q_source"]))
-    return joined.withColumn("taken", taken(F.col("size"), F.col("h"))).drop("_q_source", "whole", "last_h", "last_size", "part")
+    return rows.join(info, source.eqNullSafe(F.col(_INFO["source"])))
+
+
+def mix(rows: DataFrame, weights: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """rows(source, size, h, more) with source_size, target and taken, in place of columns of these names.
+
+    A null source is one like others; null sizes or hashes are for the caller to fill. Documents of a source with equal h
+    and size share alike; repeated rows keep a row each; an empty table gives an empty one. Names that begin with _q_ are
+    taken.
+    """
+    joined = _with_info(rows, rows["source"], rows.select("source", "size", "h"), weights, max_epochs)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("source_size", "target", "taken")]
+    added = [F.col(_INFO["source_size"]).alias("source_size"), F.col(_INFO["target"]).alias("target"), taken(F.col("size"), F.col("h")).alias("taken")]
+    return joined.select(*kept, *added)
 
 
 def repeat_documents(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 0,
                      id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with every row as often as the mix takes it, whole documents only, columns as they are.
 
-    Rows with equal ids share their luck if their sizes are equal too. Documents without words are kept once, as
-    they cost the mix nothing.
+    Rows with equal ids share their luck if their sizes are equal too. Null, empty and blank texts have no words: they are
+    kept once, as they cost the mix nothing. A null source is one like others, a null id counts as empty. An empty table
+    gives an empty one. Columns may have any names but those that begin with _q_.
     """
-    extra = {"_q_source": F.col(source_col), "_q_size": word_count(F.col(text_col)), "_q_h": seeded_hash(F.col(id_col), seed)}
-    slim = materialize(docs.select(*[c.alias(k[3:]) for k, c in extra.items()]), "sizes")
-    info = repetitions(slim, by_rank(slim, list(cycle)) if weights is None else weights, max_epochs).withColumnRenamed("source", "_q_key")
-    info = F.broadcast(info) if info.count() <= BROADCAST_SOURCES else info
-    joined = docs.withColumns(extra).join(info, F.col("_q_source").eqNullSafe(F.col("_q_key")))
+    extra = {"_q_key": F.col(f"`{source_col}`"), "_q_size": word_count(F.col(f"`{text_col}`")), "_q_h": seeded_hash(F.col(f"`{id_col}`"), seed)}
+    names = {"_q_key": "source", "_q_size": "size", "_q_h": "h"}
+    slim = materialize(docs.select(*[c.alias(names[k]) for k, c in extra.items()]), "sizes")
+    weights = by_rank(slim, list(cycle)) if weights is None else weights
+    joined = _with_info(docs.withColumns(extra), F.col("_q_key"), slim, weights, max_epochs)
     times = F.when(F.col("_q_size") == 0, 1).otherwise(taken(F.col("_q_size"), F.col("_q_h"), True) / F.col("_q_size")).cast("int")
     again = joined.withColumn("_q_times", times).filter("_q_times > 0").withColumn("_q_copy", F.explode(F.sequence(F.lit(1), "_q_times")))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
