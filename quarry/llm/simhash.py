@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
@@ -169,45 +169,66 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(materialize(classes, "classes"), "fp").select("id", "fp", "component_id")
 
 
-def mark_rows(docs: DataFrame) -> DataFrame:
-    """docs with a hash over all columns, 64 bits and 32 of another seed: _q_a, _q_b."""
-    names = docs.columns
-    mark = [F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_q_a"), F.hash(*[F.col(f"`{c}`") for c in names]).alias("_q_b")]
-    return docs.select("*", *mark)
+#: Keys of a drop list up to which it is broadcast, some 100 MB; beyond, texts are shuffled to meet it.
+BROADCAST_KEYS = 1_000_000
+#: Under these names a row has its id and 128 bits of its text's hash; rows alike in both are told apart by all columns.
+KEY = ("_q_id", "_q_a", "_q_b")
+
+
+def mark_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with KEY."""
+    text = F.col(f"`{text_col}`")
+    return docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_q_id"), F.xxhash64(text).alias("_q_a"), F.xxhash64(F.lit(1), text).alias("_q_b"))
+
+
+def _whole_row(docs: DataFrame) -> Column:
+    """A hash over all columns; maps, which have no hash, by their text."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
 
 def keep_least(docs: DataFrame, marked: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of each component of roots(fp, root) one row of docs, by rows(_q_a, _q_b, _q_id, fp); see keep_one."""
-    names = docs.columns
-    best = F.min(F.struct(F.col("_q_id").isNull(), "_q_id", "_q_a", "_q_b"))
-    by_fp = rows.groupBy("fp").agg(best.alias("best"))
+    """Of each component of roots(fp, root) one row of docs, by rows(KEY, fp); see keep_one.
+
+    The keys that go are fewer than those that stay. Up to BROADCAST_KEYS they are sent to all tasks, and no text moves.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    best = F.min(F.struct(F.col("_q_id").isNull(), *KEY)).alias("best")
+    keys = rows.groupBy(*KEY, "fp").agg(F.count("*").alias("_q_n"))
+    placed = keys.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_fp = rows.groupBy("fp").agg(best)
     kept = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    keys = kept.select("best._q_a", "best._q_b", F.col("best._q_id").alias("_q_id"))
-    counts = rows.groupBy("_q_a", "_q_b", "_q_id").agg(F.count("*").alias("_q_n"))
-    same = counts["_q_a"].eqNullSafe(keys["_q_a"]) & counts["_q_b"].eqNullSafe(keys["_q_b"]) & counts["_q_id"].eqNullSafe(keys["_q_id"])
-    chosen = materialize(counts.join(keys, same, "left_semi").select("_q_a", "_q_b", "_q_n"), "kept")
-    found = marked.join(chosen, ["_q_a", "_q_b"])
-    once = found.filter("_q_n = 1").select(*[F.col(f"`{c}`") for c in names])
-    again = found.filter("_q_n > 1").dropDuplicates(["_q_a", "_q_b"]).select(*[F.col(f"`{c}`") for c in names])
-    return once.unionByName(again)
+    same = [F.col(f"best.{k}").eqNullSafe(F.col(k)) for k in KEY]
+    told = materialize(placed.join(kept, "root").select(*KEY, "_q_n", (same[0] & same[1] & same[2]).alias("stays")), "kept")
+
+    def matched(table: DataFrame, condition: str, how: str) -> DataFrame:
+        some = told.filter(condition).select(*[F.col(k).alias(f"{k}2") for k in KEY])
+        some = F.broadcast(some) if some.count() <= BROADCAST_KEYS else some
+        return table.join(some, F.col(KEY[0]).eqNullSafe(F.col(f"{KEY[0]}2")) & (F.col(KEY[1]) == F.col(f"{KEY[1]}2")) & (F.col(KEY[2]) == F.col(f"{KEY[2]}2")), how)
+
+    left = matched(marked, "NOT stays", "left_anti")
+    if not told.filter("stays AND _q_n > 1").limit(1).count():
+        return left.select(*names)
+    once = matched(left, "stays AND _q_n > 1", "left_anti").select(*names)
+    again = matched(left, "stays AND _q_n > 1", "left_semi").groupBy(*KEY).agg(F.min_by(F.struct(*names), _whole_row(docs)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, with its columns as they are.
 
-    Of several rows with that id, one with the least hash over all columns stays; of rows equal in all columns, one.
-    Null ids sort last. Rows are told apart by a hash over all columns, 64 bits from two seeds each.
+    Of several texts under that id the one of the least hash stays; of rows alike in id and text one, with the least hash
+    over all columns. Null ids sort last. Null, empty and blank texts are copies of one another. A text of any length is
+    read once; an empty table gives an empty one; columns may have any type and names but those that begin with _q_.
     """
-    marked = mark_rows(docs)
-    keyed = marked.select("_q_a", "_q_b", F.col(id_col).cast("long").alias("_q_id"), F.col(text_col).alias("_q_text"))
+    marked = mark_rows(docs, id_col, text_col)
+    keyed = marked.select(*KEY, F.col(f"`{text_col}`").cast("binary").alias("_q_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(x.as_py(), words) for x in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps], ["_q_a", "_q_b", "_q_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps], [*KEY, "fp"])
 
-    slim = keyed.withColumn("_q_text", F.col("_q_text").cast("binary")).mapInArrow(run, "_q_a long, _q_b int, _q_id long, fp long")
-    rows = materialize(slim, "fingerprints")
+    rows = materialize(keyed.mapInArrow(run, "_q_id long, _q_a long, _q_b long, fp long"), "fingerprints")
     points = materialize(rows.select("fp").distinct(), "points")
     roots = connected_components(links(points, max_distance)).withColumnRenamed("node", "fp")
     return keep_least(docs, marked, rows, roots)
