@@ -98,8 +98,8 @@ RULES = (
     ("CC0-1.0", ("cc0_ref",)),
     ("Unlicense", ("unlicense",)),
 )
-#: A sentence ends at . ; : ! or ? before white space or the end, and at a blank line.
-SENTENCE_END = re.compile(rb"[.;:!?]+(?=[ \t\r\n]|\Z)|\n[ \t\r]*\n")
+#: A sentence ends at . ; : ! or ? before white space or the end, and at a blank line. Each mark is looked at once.
+SENTENCE_END = re.compile(rb"(?<![.;:!?])[.;:!?]++(?=[ \t\r\n]|\Z)|\n[ \t\r]*+\n")
 #: Lower-cases A-Z; any byte that is no ASCII letter or digit becomes a space.
 FOLD = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Positions from one sentence of a rule to the next at most: one unknown sentence may lie between.
