@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.gru import BiGRU
 from quarry.session import materialize
 
 UNKNOWN = "und"
-#: Bytes of a piece at most; longer tokens are cut. Pieces are what the network reads at once, from a zero state.
-PIECE = 24
-#: Pieces run through the network together.
-BATCH = 4096
-#: Pieces gathered from documents before the network runs over the distinct ones.
-GATHERED = 400_000
+#: Bytes of context that a window reads before and after the positions that it labels.
+MARGIN = 16
+#: Positions that a window labels: in training, and in prediction, where longer ones read less context again.
+TRAINED, LABELLED = 64, 256
+#: Windows that run through the network together.
+BATCH = 2048
 #: Lower-cases A-Z; ASCII that is no letter becomes a space. Bytes over 127 stay.
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def pieces(text: str | None) -> list[bytes]:
-    """All letters of a text in pieces: its words, the long ones cut every PIECE bytes."""
-    words = (text or "").encode("utf-8", "replace").translate(LETTERS).split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+def normalised(text: str | None) -> bytes:
+    """All letters of a text in their order, with one space for anything between."""
+    return b" ".join((text or "").encode("utf-8", "replace").translate(LETTERS).split())
 
 
 def has_letter(text: str | None) -> bool:
@@ -38,6 +34,11 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+def padded(line: bytes, labelled: int) -> np.ndarray:
+    """A normalised text between spaces, so that windows of so many labelled positions and their margins fit in."""
+    return np.frombuffer(b" " * MARGIN + line + b" " * (MARGIN + labelled), np.uint8)
+
+
 @dataclass
 class Model:
     """A trained network and the languages that it tells apart; without a network, the one language learned, if any."""
@@ -45,55 +46,51 @@ class Model:
     languages: list[str]
     network: BiGRU | None
 
-    def evidence(self, distinct: list[bytes]) -> np.ndarray:
-        """For each piece its languages' probabilities summed over its positions; equal lengths run together, unpadded."""
-        out = np.zeros((len(distinct), len(self.languages)))
-        length = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        order = np.argsort(length, kind="stable")
-        for size in np.unique(length):
-            own = order[np.searchsorted(length[order], size) : np.searchsorted(length[order], size, side="right")]
-            for lo in range(0, len(own), BATCH):
-                some = own[lo : lo + BATCH]
-                x = np.frombuffer(b"".join([distinct[i] for i in some]), np.uint8).reshape(-1, size)
-                out[some] = np.exp(self.network.log_probabilities(x)).sum(axis=0)
-        return out
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each whole text: its positions' probabilities, averaged; the largest mean decides.
 
-        A passage in another language weighs as its length, however plain it is.
-        Equal pieces give equal evidence, so each distinct one goes through the network once and counts as often as
-        it occurs.
+        Every position of the normalised text is labelled once, by a window that reads MARGIN more bytes on both sides,
+        across words. Windows of all texts run together, BATCH at a time, so a text of any length takes bounded memory.
         """
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        todo: list[tuple[int, Counter[bytes]]] = []
-        known: dict[bytes, int] = {}
+        sums = np.zeros((len(texts), max(1, len(self.languages))))
+        todo: list[tuple[int, np.ndarray, int, int]] = []
         for i, text in enumerate(texts):
             if not has_letter(text) or not self.languages:
                 continue
             if not self.network:
                 langs[i], scores[i] = self.languages[0], 1.0
                 continue
-            counts = Counter(pieces(text))
-            for piece in counts:
-                known.setdefault(piece, len(known))
-            todo.append((i, counts))
-            if len(known) >= GATHERED:
-                self._pool(todo, known, langs, scores)
-                todo, known = [], {}
+            line = normalised(text)
+            if not line:
+                continue
+            array = padded(line, LABELLED)
+            for at in range(0, len(line), LABELLED):
+                todo.append((i, array, at, min(LABELLED, len(line) - at)))
+                if len(todo) == BATCH:
+                    self._pool(todo, sums)
+                    todo = []
+            langs[i], scores[i] = "", float(len(line))
         if todo:
-            self._pool(todo, known, langs, scores)
+            self._pool(todo, sums)
+        for i, lang in enumerate(langs):
+            if not lang:
+                p = sums[i] / scores[i]
+                best = int(p.argmax())
+                langs[i], scores[i] = self.languages[best], float(min(1.0, max(0.0, p[best])))
         return langs, scores
 
-    def _pool(self, todo: list[tuple[int, Counter[bytes]]], known: dict[bytes, int], langs: list[str], scores: list[float]) -> None:
-        evidence = self.evidence(list(known))
-        for i, counts in todo:
-            at = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
-            times = np.fromiter(counts.values(), np.float64, len(counts))
-            positions = times @ np.fromiter(map(len, counts), np.float64, len(counts))
-            p = times @ evidence[at] / positions
-            best = int(p.argmax())
-            langs[i], scores[i] = self.languages[best], float(min(1.0, p[best]))
+    def _pool(self, todo: list[tuple[int, np.ndarray, int, int]], sums: np.ndarray) -> None:
+        x = np.stack([array[at : at + LABELLED + 2 * MARGIN] for _, array, at, _ in todo])
+        wanted = np.arange(LABELLED) < np.array([n for _, _, _, n in todo])[:, None]
+        np.add.at(sums, [i for i, _, _, _ in todo], self.network.pooled(x, MARGIN, wanted))
+
+
+def windows(line: bytes, n: int, seed: int) -> np.ndarray:
+    """n windows of a normalised text for training, seeded; labelled positions may start anywhere in it."""
+    array = padded(line, TRAINED)
+    starts = np.random.default_rng(seed % (1 << 32)).integers(0, max(1, len(line) - TRAINED + 1), n)
+    return array[starts[:, None] + np.arange(TRAINED + 2 * MARGIN)]
 
 
 def bucket(id_col: str, n: int) -> Column:
@@ -102,48 +99,55 @@ def bucket(id_col: str, n: int) -> Column:
 
 
 def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_docs: int = 300, max_languages: int = 200, pieces_per_language: int = 20_000, max_chars: int = 200_000, hidden: int = 16, steps: int = 700, seed: int = 0) -> Model:
-    """A model from at most max_docs labelled documents of each of the max_languages most frequent languages.
+        max_docs: int = 300, windows_per_doc: int = 64, hidden: int = 8, steps: int = 300, batch: int = 96, seed: int = 0) -> Model:
+    """A model from at most max_docs distinct texts of each language, windows_per_doc windows of each.
 
     train: a condition over docs that chooses the rows to learn from. The sample is that of the least hashes of the
-    text; each language gives pieces_per_language pieces, drawn with repetition from all pieces of its sample. Null texts
-    and languages, and texts over max_chars, are left out of the sample; ids only decide train.
+    texts; equal texts count once, whatever number of copies there are, and a long text gives as many windows as a short
+    one, from anywhere in it. So the driver gets max_docs * windows_per_doc windows of each language at most, and a count
+    for each language. Null texts and languages, and texts without letters, are left out; ids only decide train.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.filter(train) if train is not None else rows
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2 * max_docs / r["count"]))).otherwise(share)
-    likely = F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20)  # about twice max_docs of each, by hash: bounded, and no sort of all
-    sample = materialize(rows.filter(likely), "sample").orderBy("h", "lang").toLocalIterator()
-    found: dict[str, list[bytes]] = {r.lang: [] for r in counts}
-    used: Counter[str] = Counter()
-    for r in sample:
-        if used[r.lang] < max_docs and has_letter(r.text):
-            used[r.lang] += 1
-            found[r.lang] += pieces(r.text)
-    languages = sorted(k for k, v in found.items() if v)
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    share = F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("n"))  # about twice max_docs of each, by hash: no sort of all
+    limits = counts.select(F.col("lang").alias("l"), (share * float(1 << 62)).cast("long").alias("below"))
+    likely = rows.join(F.broadcast(limits), F.col("lang") == F.col("l")).filter(F.pmod("h", F.lit(1 << 62)) <= F.col("below"))  # a row for each language
+    once = likely.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("lang", "h", "text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            langs, hashes, found = [], [], []
+            for lang, h, text in zip(*(c.to_pylist() for c in part.columns)):
+                line = normalised(text)
+                if line and has_letter(text):
+                    langs.append(lang)
+                    hashes.append(h)
+                    found.append(windows(line, windows_per_doc, h).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["lang", "h", "windows"])
+
+    sample = chosen.mapInArrow(draw, "lang string, h long, windows binary").toPandas().sort_values(["lang", "h"])
+    languages = sorted(sample.lang.unique())
     if len(languages) < 2:
         return Model(languages, None)
-    rng = np.random.default_rng(seed)
-    x = np.zeros((len(languages) * pieces_per_language, PIECE), np.uint8)
-    y = np.repeat(np.arange(len(languages)), pieces_per_language)
-    for k, lang in enumerate(languages):
-        stream = b" ".join(found[lang])
-        array = np.frombuffer(stream * (1 + PIECE // len(stream)), np.uint8)
-        starts = np.array([0, *(np.flatnonzero(array == 32) + 1)])
-        starts = starts[starts <= len(array) - PIECE]
-        chosen = rng.choice(starts if len(starts) else np.zeros(1, np.int64), pieces_per_language)
-        x[k * pieces_per_language : (k + 1) * pieces_per_language] = array[chosen[:, None] + np.arange(PIECE)]
+    x = np.frombuffer(b"".join(sample.windows), np.uint8).reshape(-1, TRAINED + 2 * MARGIN)
+    y = np.searchsorted(languages, sample.lang.to_numpy(str)).repeat(windows_per_doc)
+    own = [np.flatnonzero(y == k) for k in range(len(languages))]
+    even = np.concatenate([np.resize(at, max(map(len, own))) for at in own])  # each language as often as any other
     network = BiGRU(hidden, len(languages), seed)
-    network.train(x, y, steps, seed=seed)
+    network.train(x[even], y[even], steps, batch=batch, rate=0.03, seed=seed, margin=MARGIN)
     return Model(languages, network)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang, score for every row of docs, from its whole text; und with score 0 where a text is null or has no letter."""
+    """id, lang, score for every row of docs, from its whole text; und with score 0 where a text is null or has no letter.
+
+    Empty texts are und too; a text of any length runs in windows, in bounded memory; ties go to the language that sorts
+    first; repeated rows and ids keep a row each; an empty table gives no rows; other columns of docs are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
