@@ -56,9 +56,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose repeated spans, what is left of them, and the first document that has one of those spans first."""
-    found = spans.dedup(load(spark, sf_dir, "documents"), changed_only=True)
-    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", F.col("first_id").alias("first_doc_id"))
+    """What is left of every document without repeated spans, and the first document that has one of its lost spans first, itself if it lost none."""
+    found = spans.dedup(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", F.coalesce("first_id", "id").alias("first_doc_id"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,42 +15,72 @@ from pyspark.sql import functions as F
 from quarry.llm.simhash import LOWER
 from quarry.session import materialize
 
-#: A sentence ends after . ! or ? before white space, and at a line end.
-SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)|[^\n]+")
-#: Words of a sentence at most; longer ones are cut, so that text without full stops has sentences too.
+#: A sentence ends after a run of . ! or ? before white space or the end, and at a line end. Each mark is looked at once.
+SENTENCE_END = re.compile(rb"(?<![.!?])[.!?]++(?=[ \t\r\n]|\Z)|\n")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Words of a sentence at most that is not cut.
 LONGEST = 16
+#: A longer one is cut before each word whose rank is the least among so many words on both sides.
+NEAR = 4
 #: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 20
 #: Twice the sentences of a run, and one, are less; a run is no longer than its least sentences or words.
 PLACE = 1 << 20
+#: Ranks remembered; beyond, the memory starts again.
+REMEMBERED = 200_000
 
 
-def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
-    """Byte span and lower-cased words of each sentence, blank ones left out."""
-    spans, words = [], []
-    for m in SENTENCE.finditer(text):
-        found = m[0].translate(LOWER).split()
-        if len(found) <= LONGEST:
-            if found:
-                spans.append(m.span())
-                words.append(found)
-            continue
-        at = m.start()
-        for lo in range(0, len(found), LONGEST):
-            part = found[lo : lo + LONGEST]
-            end = at
-            for w in part:
-                while text[end : end + 1].isspace():
-                    end += 1
-                end += len(w)
-            spans.append((at, end if lo + LONGEST < len(found) else m.end()))
-            words.append(part)
-            at = end
+class Ranks(dict):
+    """Rank of a word: the first 15 hex digits of its MD5. So the words alone decide where a long sentence is cut."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = rank = int(hashlib.md5(word).hexdigest()[:15], 16)
+        return rank
+
+
+def cuts(ranks: np.ndarray) -> np.ndarray:
+    """Positions before which a long sentence is cut: those of the least rank among the NEAR before and after it.
+
+    The sentence's first word counts as no cut. What lies further away has no say, so a passage is cut alike wherever
+    it stands, but for NEAR words at its edges.
+    """
+    n = len(ranks)
+    least = np.ones(n, bool)
+    least[0] = False
+    for k in range(1, min(NEAR, n - 1) + 1):
+        least[k:] &= ranks[k:] <= ranks[:-k]
+        least[:-k] &= ranks[:-k] <= ranks[k:]
+    return np.flatnonzero(least)
+
+
+def sentences(text: bytes, ranks: Ranks | None = None) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
+    """Byte span and lower-cased words of each sentence, blank ones left out; linear in the text."""
+    ranks = Ranks() if ranks is None else ranks
+    spans, words, at = [], [], 0
+    lower = text.translate(LOWER)
+    for end in (*(m.end() for m in SENTENCE_END.finditer(text)), len(text)):
+        found = lower[at:end].split()
+        if len(found) > LONGEST:
+            places = cuts(np.fromiter(map(ranks.__getitem__, found), np.int64, len(found)))
+            if len(places):
+                starts = [m.start() for m in WORD.finditer(lower, at, end)]
+                bounds = [0, *places.tolist(), len(found)]
+                for lo, hi in zip(bounds, bounds[1:]):
+                    spans.append((at if lo == 0 else starts[lo], end if hi == len(found) else starts[hi]))
+                    words.append(found[lo:hi])
+                at = end
+                continue
+        if found:
+            spans.append((at, end))
+            words.append(found)
+        at = end
     return spans, words
 
 
 def runs(words: list[list[bytes]], least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, end, signed hash) of each run that is the shortest one from its first or to its last sentence.
+    """(first sentence, end, 128-bit hash) of each run that is the shortest one from its first or to its last sentence.
 
     So the sentences of a repeated passage that has any such run are covered from its first whole one to its last.
     """
@@ -64,59 +94,72 @@ def runs(words: list[list[bytes]], least_sentences: int, least_words: int) -> It
     lines = [b" ".join(w) for w in words]
     for code in np.unique(pairs[:, 0] * (n + 1) + pairs[:, 1]).tolist():
         i, j = divmod(code, n + 1)
-        yield i, j, xxhash.xxh64_intdigest(b" ".join(lines[i:j])) - (1 << 63)
+        yield i, j, xxhash.xxh3_128_intdigest(b" ".join(lines[i:j]))
+
+
+def mark_of(text: bytes) -> int:
+    """31 bits that tell texts under one id apart."""
+    return xxhash.xxh32_intdigest(text) >> 1
 
 
 def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """hash, key, place: one row for each run of each row(key, text).
+    """hash, key, place, tag: one row for each run of each row(key, text).
 
-    place holds the first sentence, the number of sentences and whether the text has had the run before, in one number.
+    place holds the first sentence, the number of sentences and whether the text has had the run before, in one number;
+    tag holds 31 more bits of the run's hash and the text's mark. So 95 bits tell runs apart.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks()
         for batch in batches:
-            hashes, keys, places = [], [], []
+            hashes, keys, places, tags = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 seen: set[int] = set()
-                for i, j, h in runs(sentences(text.as_py() or b"")[1], least_sentences, least_words):
-                    hashes.append(h)
+                raw = text.as_py() or b""
+                mark = mark_of(raw)
+                for i, j, h in runs(sentences(raw, ranks)[1], least_sentences, least_words):
+                    hashes.append((h & (1 << 64) - 1) - (1 << 63))
                     keys.append(key)
                     places.append(i * PLACE + 2 * (j - i) + (h in seen))
+                    tags.append((h >> 97) * (1 << 31) + mark)
                     seen.add(h)
                 if len(hashes) > 100_000:
-                    yield out(hashes, keys, places)
-                    hashes, keys, places = [], [], []
-            yield out(hashes, keys, places)
+                    yield out(hashes, keys, places, tags)
+                    hashes, keys, places, tags = [], [], [], []
+            yield out(hashes, keys, places, tags)
 
     def out(*columns: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place", "tag"])
 
-    return rows.mapInArrow(go, "hash long, key long, place long")
+    return rows.mapInArrow(go, "hash long, key long, place long, tag long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
-    """id, sentences, first_id: positions of the sentences that non-first repeated runs cover, and the least id where one is first.
+    """id, mark, sentences, first_id: positions of the sentences that non-first repeated runs cover, and the least id where one is first.
 
-    Rows without any are left out. Of a run's occurrences the first is that of the smallest id, and of that the first in
-    its text; all others lose the run's sentences. Runs are counted map-side before they are dealt by hash, so a passage
-    in a third of the rows gives one row a task; only occurrences of repeated runs are joined, and Spark splits a hot
-    one. Null ids and texts take no part. Rows with equal ids are not copies of each other, and their positions are
-    united: make ids unique first.
+    mark tells texts under one id apart; rows with the same id and text are one document. Documents without any are left
+    out. Of a run's occurrences the first is that of the smallest id, of several texts under it that of the least mark, and
+    of that the first in its text; all others lose the run's sentences. Runs are counted map-side before they are dealt by
+    hash, so a passage in a third of the rows gives one row a task; only occurrences of runs whose 64 bits repeat are
+    joined, where Spark splits a hot one, and 31 more bits decide. Null ids and texts take no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text")).filter("key IS NOT NULL")
     found = materialize(_occurrences(rows, least_sentences, least_words), "runs")
-    counted = found.groupBy("hash").agg(F.count("*").alias("times"), F.min("key").alias("home"))
-    again = materialize(counted.filter("times > 1").select("hash", "home"), "repeated")
-    later = found.join(again, "hash").filter((F.col("key") != F.col("home")) | (F.col("place") % 2 == 1))
+    often = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    check, mark = F.expr("tag div 2147483648").cast("int"), F.expr("cast(pmod(tag, 2147483648L) as int)")
+    same = materialize(found.join(often, "hash").select("hash", check.alias("check"), "key", mark.alias("mark"), "place"), "repeated")
+    first = F.min(F.struct("key", "mark")).alias("first")
+    homes = same.groupBy("hash", "check").agg(F.count("*").alias("times"), first).filter("times > 1").select("hash", "check", "first")
+    later = same.join(homes, ["hash", "check"]).filter((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark")) | (F.col("place") % 2 == 1))
     sentence = F.expr(f"sequence(place div {PLACE}, place div {PLACE} + (place % {PLACE}) div 2 - 1)")
-    covered = later.select("key", "home", F.explode(sentence).alias("at"))
-    return covered.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("home").alias("first_id"))
+    covered = later.select("key", "mark", F.col("first.key").alias("home"), F.explode(sentence).alias("at"))
+    return covered.groupBy(F.col("key").alias("id"), "mark").agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("home").alias("first_id"))
 
 
-def remove(text: bytes, positions: list[int]) -> bytes:
-    """A text without those sentences; what is between the others stays."""
-    spans, gone, parts, end = sentences(text)[0], set(positions), [], 0
-    for k, (a, b) in enumerate(spans):
+def remove(text: bytes, positions: list[int], spans: list[tuple[int, int]] | None = None) -> bytes:
+    """A text without the sentences at those positions; what is between the others stays."""
+    gone, parts, end = set(positions), [], 0
+    for k, (a, b) in enumerate(sentences(text)[0] if spans is None else spans):
         if k in gone:
             parts.append(text[end:a])
             end = b
@@ -128,25 +171,35 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """id, text, n_sentences, n_removed, n_words, n_kept_words, words_sha256, first_id for every row of docs.
 
     text is what is left without repeated spans; words_sha256 the digest of its lower-cased words, joined by spaces.
-    changed_only leaves out the rows that lose nothing. Null texts stay null and have no sentences; rows with a null id
-    stay as they are; see repeated() for the rest.
+    changed_only leaves out the rows that lose nothing. Null texts stay null; they, empty and blank texts have no
+    sentences. Rows with a null id stay as they are. Rows with the same id and text are one document and fare alike; other
+    texts under one id are documents of their own. Ties of ids are settled as in repeated(). A text of any length is read
+    once from start to end; an empty table gives no rows; other columns of docs are not read.
     """
-    gone = materialize(repeated(docs, id_col, text_col, least_sentences, least_words), "spans").withColumnRenamed("id", "_q_id")
+    gone = materialize(repeated(docs, id_col, text_col, least_sentences, least_words), "spans")
+    gone = gone.select(F.col("id").alias("_q_id"), F.col("mark").alias("_q_mark"), "sentences", "first_id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = rows.join(gone, F.col("id") == F.col("_q_id"), "inner" if changed_only else "left").select("id", "text", "sentences", "first_id")
+    by_id = gone.groupBy("_q_id").agg(F.collect_list(F.struct("_q_mark", "sentences", "first_id")).alias("lost"))  # a text each under the id
+    joined = rows.join(by_id, F.col("id") == F.col("_q_id"), "inner" if changed_only else "left").select("id", "text", "lost")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks()
         for batch in batches:
             out: list[tuple] = []
-            for text, at in zip(batch.column(1), batch.column(2)):
-                raw, lost = text.as_py(), set(at.as_py() or ())
-                words = sentences(raw or b"")[1]
+            for key, text, losses in zip(batch.column(0), batch.column(1), batch.column(2)):
+                raw, marked = text.as_py(), losses.as_py() or ()
+                mark = mark_of(raw or b"") if marked else None
+                lost, first = next(((set(x["sentences"]), x["first_id"]) for x in marked if x["_q_mark"] == mark), (set(), None))
+                if changed_only and not lost:
+                    continue
+                spans, words = sentences(raw or b"", ranks)
                 kept = [w for k, s in enumerate(words) if k not in lost for w in s]
-                left = remove(raw, list(lost)) if lost else raw
-                out.append((left, len(words), len(lost), sum(map(len, words)), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            columns = [list(c) for c in zip(*out)] or [[] for _ in range(6)]
-            arrays = [pa.array(columns[0], pa.binary()).cast(pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, batch.column(3)], names)
+                left = remove(raw, list(lost), spans) if lost else raw
+                out.append((key.as_py(), left, len(words), len(lost), sum(map(len, words)), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), first))
+            columns = [list(c) for c in zip(*out)] or [[] for _ in names]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([arrays[0], arrays[1].cast(pa.string()), *arrays[2:]], names)
 
     names = ["id", "text", "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", "first_id"]
     return joined.mapInArrow(go, "id long, text string, n_sentences long, n_removed long, n_words long, n_kept_words long, words_sha256 string, first_id long")

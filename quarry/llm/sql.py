@@ -138,35 +138,48 @@ SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(named.x, '') AS identifie
 FROM d LEFT JOIN counts USING (r) LEFT JOIN named USING (r) LEFT JOIN matches USING (r)
 """
 
+# A document is a text under an id. A sentence of more than LONGEST words is cut before each word whose digest is not more than
+# those of the NEAR words before and after it.
 OP6 = rf"""
-WITH lines AS (
-  SELECT doc_id, unnest(x) AS body, unnest(range(len(x))) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+one AS (SELECT min(r) AS r, doc_id, text FROM d WHERE doc_id IS NOT NULL GROUP BY doc_id, text),
+every AS (SELECT d.r, coalesce(one.r, d.r) AS own, d.doc_id FROM d LEFT JOIN one ON d.doc_id = one.doc_id AND d.text IS NOT DISTINCT FROM one.text),
+texts AS (SELECT r, doc_id, text FROM one UNION ALL SELECT r, doc_id, text FROM d WHERE doc_id IS NULL),
+lines AS (
+  SELECT r, unnest(x) AS body, unnest(range(len(x))) AS line FROM (SELECT r, string_split(text, chr(10)) AS x FROM texts)),
 pieces AS (
-  SELECT doc_id, line, unnest(x) AS body, unnest(range(len(x))) AS piece
-  FROM (SELECT doc_id, line, string_split(regexp_replace(body, '([.!?]+)([ \t\r]|$)', '\1' || chr(10), 'g'), chr(10)) AS x FROM lines)),
+  SELECT r, line, unnest(x) AS body, unnest(range(len(x))) AS piece
+  FROM (SELECT r, line, string_split(regexp_replace(body, '([.!?]+)([ \t\r]|$)', '\1' || chr(10), 'g'), chr(10)) AS x FROM lines)),
 spoken AS (
-  SELECT doc_id, line, piece, w, unnest(range(0, len(w), {spans.LONGEST})) AS cut
-  FROM (SELECT doc_id, line, piece, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM pieces)),
-s AS (
-  SELECT doc_id, array_to_string(list_slice(w, cut + 1, cut + {spans.LONGEST}), ' ') AS body, least({spans.LONGEST}, len(w) - cut) AS n,
-    row_number() OVER (PARTITION BY doc_id ORDER BY line, piece, cut) - 1 AS i
-  FROM spoken),
-through AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM s),
+  SELECT r, line, piece, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM pieces),
+every_word AS (SELECT r, line, piece, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS nth FROM spoken WHERE len(w) > 0),
+ranked_words AS (
+  SELECT *, left(md5(word), 15) AS digest,
+    min(left(md5(word), 15)) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN {spans.NEAR} PRECEDING AND 1 PRECEDING) AS ahead,
+    min(left(md5(word), 15)) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN 1 FOLLOWING AND {spans.NEAR} FOLLOWING) AS behind
+  FROM every_word),
+cut_words AS (
+  SELECT *, nth = 0 OR (n > {spans.LONGEST} AND digest <= ahead AND (behind IS NULL OR digest <= behind)) AS first FROM ranked_words),
+numbered AS (SELECT *, CAST(sum(first::INT) OVER (PARTITION BY r ORDER BY line, piece, nth) AS BIGINT) - 1 AS i FROM cut_words),
+s AS (SELECT r, i, string_agg(word, ' ' ORDER BY nth) AS body, count(*) AS n FROM numbered GROUP BY r, i),
+through AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS total, sum(n) OVER (PARTITION BY r ORDER BY i) - n AS before FROM s),
 long AS (
-  SELECT a.doc_id, a.i, b.i AS j FROM through a
-  JOIN through b ON a.doc_id = b.doc_id AND b.i >= a.i + {spans.SENTENCES - 1} AND b.total >= a.before + {spans.WORDS} AND b.i < a.i + {spans.SENTENCES + spans.WORDS}),
-ends AS (SELECT doc_id, i, min(j) AS j FROM long GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM long GROUP BY doc_id, j),
+  SELECT a.r, a.i, b.i AS j FROM through a
+  JOIN through b ON a.r = b.r AND b.i >= a.i + {spans.SENTENCES - 1} AND b.total >= a.before + {spans.WORDS} AND b.i < a.i + {spans.SENTENCES + spans.WORDS}),
+ends AS (SELECT r, i, min(j) AS j FROM long GROUP BY r, i UNION SELECT r, max(i) AS i, j FROM long GROUP BY r, j),
 runs AS (
-  SELECT e.doc_id, e.i, e.j, string_agg(s.body, ' ' ORDER BY s.i) AS run
-  FROM ends e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY e.doc_id, e.i, e.j),
+  SELECT e.r, e.i, e.j, string_agg(s.body, ' ' ORDER BY s.i) AS run
+  FROM ends e JOIN s ON s.r = e.r AND s.i BETWEEN e.i AND e.j GROUP BY e.r, e.i, e.j),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, i) AS home, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM runs),
-gone AS (SELECT doc_id, home, unnest(range(i, j + 1)) AS i FROM ranked WHERE k > 1),
-homes AS (SELECT doc_id, min(home) AS first_doc_id, count(DISTINCT i) AS n_removed FROM gone GROUP BY doc_id),
+  SELECT r, i, j, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, r, i) AS home, row_number() OVER (PARTITION BY run ORDER BY doc_id, r, i) AS k
+  FROM runs JOIN one USING (r)),
+gone AS (SELECT r, home, unnest(range(i, j + 1)) AS i FROM ranked WHERE k > 1),
+homes AS (SELECT r, min(home) AS first_doc_id, count(DISTINCT i) AS n_removed FROM gone GROUP BY r),
 kept AS (
-  SELECT s.doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE g.i IS NULL), 0) AS BIGINT) AS n_kept_words,
+  SELECT s.r, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE g.i IS NULL), 0) AS BIGINT) AS n_kept_words,
     sha256(coalesce(string_agg(body, ' ' ORDER BY s.i) FILTER (WHERE g.i IS NULL), '')) AS words_sha256
-  FROM s LEFT JOIN (SELECT DISTINCT doc_id, i FROM gone) g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
-SELECT doc_id, n_sentences, n_removed, n_words, n_kept_words, words_sha256, first_doc_id FROM kept JOIN homes USING (doc_id)
+  FROM s LEFT JOIN (SELECT DISTINCT r, i FROM gone) g ON g.r = s.r AND g.i = s.i GROUP BY s.r)
+SELECT e.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_words, 0) AS n_words,
+  coalesce(n_kept_words, 0) AS n_kept_words, coalesce(words_sha256, sha256('')) AS words_sha256, coalesce(first_doc_id, e.doc_id) AS first_doc_id
+FROM every e LEFT JOIN kept ON kept.r = e.own LEFT JOIN homes ON homes.r = e.own
 """

@@ -437,17 +437,50 @@ def test_gradient():
 
 
 def test_pooling_counts_every_position():
-    """Distinct pieces with multiplicity give what reading every piece in turn gives."""
+    """Windows give what labelling each position once gives, by strings that end MARGIN bytes from what is labelled."""
     net = gru.BiGRU(4, 3, seed=1)
     model = language.Model(["a", "b", "c"], net)
-    for text in ("Hello hello WORLD, x" * 3, "ünï " + "z" * 100):
-        rows = [net.log_probabilities(np.frombuffer(p, np.uint8)[None, :])[:, 0] for p in language.pieces(text)]
-        mean = np.exp(np.concatenate(rows)).mean(axis=0)
-        assert model.predict([text]) == (["abc"[mean.argmax()]], [pytest.approx(mean.max())])
-    assert b"".join(language.pieces("Straße " + "q" * 70)) == "straße".encode() + b"q" * 70
+    for text in ("Hello hello WORLD, x" * 3, "ünï " + "z" * 100, "many words of 12 kinds! " * 60):
+        line = language.normalised(text)
+        around = b" " * language.MARGIN + line + b" " * (language.MARGIN + language.LABELLED)
+        rows = []
+        for lo in range(0, len(line), language.LABELLED):
+            part = np.frombuffer(around[lo : lo + language.LABELLED + 2 * language.MARGIN], np.uint8)
+            rows.append(net.log_probabilities(part[None, :])[language.MARGIN : -language.MARGIN, 0])
+        mean = np.exp(np.concatenate(rows)[: len(line)]).mean(axis=0)
+        assert model.predict([text]) == (["abc"[mean.argmax()]], [pytest.approx(mean.max(), rel=1e-5)])
+    assert language.normalised(" Straße, 12\n" + "q" * 70) == "straße ".encode() + b"q" * 70
     assert model.predict([None, "", "12 !?", "x"])[0][:3] == ["und"] * 3
 
 
+def test_words_are_read_in_their_order():
+    """The network reads across words: the same words in another order give other probabilities."""
+    net = gru.BiGRU(4, 2, seed=2)
+    one, other = language.Model(["a", "b"], net).predict(["alpha beta gamma delta", "delta gamma beta alpha"])[1]
+    assert abs(one - other) > 1e-6
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """However often a text is repeated it counts once, and what the driver gets stays bounded."""
+    rng = random.Random(3)
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    rows = [(i, "x y z same text again", "en") for i in range(5000)] + [(10_000 + i, words("abcde", 30), "en") for i in range(150)]
+    rows += [(20_000 + i, words("uvwxy", 30), "fr") for i in range(150)] + [(30_000, words("uvwxy", 200_000), "fr"), (30_001, None, "fr"), (30_002, "12", "de"), (30_003, words("uvwxy", 9), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = {}
+    train = gru.BiGRU.train
+    try:
+        gru.BiGRU.train = lambda self, x, y, *a, **b: seen.update(x=x, y=y) or train(self, x, y, *a, **b)
+        model = language.fit(docs, max_docs=100, windows_per_doc=4, steps=60)
+    finally:
+        gru.BiGRU.train = train
+    assert model.languages == ["en", "fr"] and len(seen["x"]) == 2 * 100 * 4
+    english = {bytes(w) for w, k in zip(seen["x"], seen["y"]) if k == 0}
+    assert len(english) > 300 and sum(b"same text" in w for w in english) <= 4
+    got = {r.id: r.lang for r in language.identify(docs, model).collect()}
+    assert got[10_000] == "en" and got[30_000] == got[20_000] == "fr" and got[30_001] == got[30_002] == "und"
+
+
 def test_held_out_languages(spark, sf):
     got = queries.op8_language(spark, sf).toPandas().merge(load(spark, sf, "documents").toPandas(), on="doc_id")
     held = got[got.held_out & got.lang.notna() & got.text.notna()]
