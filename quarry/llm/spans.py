@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from quarry.llm.simhash import LOWER
 from quarry.session import materialize
 
-#: A sentence ends after a run of . ! or ? before white space or the end, and at a line end. Each mark is looked at once.
-SENTENCE_END = re.compile(rb"(?<![.!?])[.!?]++(?=[ \t\r\n]|\Z)|\n")
+#: A sentence ends after . ! or ? before white space or the end, and at a line end: flags of the bytes that make an end, that may follow, and that part words.
+_MARK, _AFTER, _BLANK = (np.isin(np.arange(256), list(which)) for which in (b".!?", b" \t\r\n", b" \t\n\v\f\r"))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of a sentence at most that is not cut.
 LONGEST = 16
@@ -27,7 +28,7 @@ SENTENCES, WORDS = 2, 20
 #: Twice the sentences of a run, and one, are less; a run is no longer than its least sentences or words.
 PLACE = 1 << 20
 #: Ranks remembered; beyond, the memory starts again.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 class Ranks(dict):
@@ -40,61 +41,119 @@ class Ranks(dict):
         return rank
 
 
-def cuts(ranks: np.ndarray) -> np.ndarray:
-    """Positions before which a long sentence is cut: those of the least rank among the NEAR before and after it.
+def cuts(ranks: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Positions of words, given with their sentences, before which these are cut: a rank that none of the NEAR before and after is below.
 
-    The sentence's first word counts as no cut. What lies further away has no say, so a passage is cut alike wherever
+    A word meets words of its own sentence only. What lies further away has no say, so a passage is cut alike wherever
     it stands, but for NEAR words at its edges.
     """
-    n = len(ranks)
-    least = np.ones(n, bool)
-    least[0] = False
-    for k in range(1, min(NEAR, n - 1) + 1):
-        least[k:] &= ranks[k:] <= ranks[:-k]
-        least[:-k] &= ranks[:-k] <= ranks[k:]
+    least = np.ones(len(ranks), bool)
+    for k in range(1, min(NEAR, len(ranks) - 1) + 1):
+        apart = sentence[k:] != sentence[:-k]
+        least[k:] &= (ranks[k:] <= ranks[:-k]) | apart
+        least[:-k] &= (ranks[:-k] <= ranks[k:]) | apart
     return np.flatnonzero(least)
 
 
+def split(text: bytes, ranks: Ranks) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Lower-cased words of a text, their ranks, and the first word of each sentence; blank sentences have none.
+
+    Linear in the text; its bytes, words and sentences are worked on as arrays, not one by one.
+    """
+    words = text.translate(LOWER).split()
+    rank = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
+    if not words:
+        return words, rank, np.zeros(0, np.int64)
+    raw = np.frombuffer(text, np.uint8)
+    blank = _BLANK[raw]
+    begins = np.flatnonzero(blank[:-1] > blank[1:]) + 1
+    begins = begins if blank[0] else np.append(0, begins)
+    number = np.searchsorted(_ends(raw), begins, side="right")  # of the sentence that a word is in, blank ones counted
+    starts = np.append(0, np.flatnonzero(number[1:] != number[:-1]) + 1)
+    size = np.diff(starts, append=len(words))
+    if size.max() > LONGEST:
+        inside = np.flatnonzero(np.repeat(size > LONGEST, size))
+        starts = np.union1d(starts, inside[cuts(rank[inside], number[inside])])
+    return words, rank, starts
+
+
+def _ends(raw: np.ndarray) -> np.ndarray:
+    """Positions just after which a sentence of a text's bytes ends."""
+    after = np.append(_AFTER[raw[1:]], True)
+    return np.flatnonzero((raw == 10) | _MARK[raw] & after) + 1
+
+
 def sentences(text: bytes, ranks: Ranks | None = None) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
-    """Byte span and lower-cased words of each sentence, blank ones left out; linear in the text."""
-    ranks = Ranks() if ranks is None else ranks
-    spans, words, at = [], [], 0
-    lower = text.translate(LOWER)
-    for end in (*(m.end() for m in SENTENCE_END.finditer(text)), len(text)):
-        found = lower[at:end].split()
-        if len(found) > LONGEST:
-            places = cuts(np.fromiter(map(ranks.__getitem__, found), np.int64, len(found)))
-            if len(places):
-                starts = [m.start() for m in WORD.finditer(lower, at, end)]
-                bounds = [0, *places.tolist(), len(found)]
-                for lo, hi in zip(bounds, bounds[1:]):
-                    spans.append((at if lo == 0 else starts[lo], end if hi == len(found) else starts[hi]))
-                    words.append(found[lo:hi])
-                at = end
-                continue
-        if found:
-            spans.append((at, end))
-            words.append(found)
-        at = end
-    return spans, words
-
-
-def runs(words: list[list[bytes]], least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, end, 128-bit hash) of each run that is the shortest one from its first or to its last sentence.
+    """Byte span and lower-cased words of each sentence, blank ones left out.
+
+    A sentence that isn't cut reaches from the end of the one before to its own; one that is, from word to word.
+    """
+    words, _, starts = split(text, Ranks() if ranks is None else ranks)
+    begins = [m.start() for m in WORD.finditer(text)]
+    ends = [0, *_ends(np.frombuffer(text, np.uint8)).tolist(), len(text)]
+    bounds, spans = [*starts.tolist(), len(words)], []
+    for lo, hi in zip(bounds, bounds[1:]):
+        k = bisect_right(ends, begins[lo])  # the end before the first word, and the one after the last
+        whole = lo == 0 or ends[k - 1] > begins[lo - 1]
+        last = bisect_right(ends, begins[hi - 1])
+        own = hi == len(words) or ends[last] <= begins[hi]
+        spans.append((ends[k - 1] if whole else begins[lo], ends[last] if own else begins[hi]))
+    return spans, [words[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+
+
+#: Odd factors of the two rolling hashes, and what words' ranks are multiplied by for each.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+class Powers:
+    """Powers of a factor and of its inverse modulo 2^64, as far as texts have needed them."""
+
+    def __init__(self, factor: int) -> None:
+        self.steps = (factor, pow(factor, -1, 1 << 64))
+        self.tables = [np.ones(1, np.uint64) for _ in self.steps]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        """Both tables with n entries at least."""
+        if len(self.tables[0]) < n:
+            size = 1 << (n - 1).bit_length()
+            self.tables = [np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, step, np.uint64))) for step in self.steps]
+        return self.tables
+
+
+_POWERS = [Powers(x) for x in _FACTORS]
+
+
+def run_hashes(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the words from lo to hi, by their ranks: differences of a running polynomial, shifted to its start."""
+    out = []
+    for powers, mixer in zip(_POWERS, _MIXERS):
+        up, down = powers.upto(len(rank) + 1)
+        w = rank.view(np.uint64) * np.uint64(mixer)
+        w = (w ^ w >> np.uint64(29)) * np.uint64(mixer)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w ^ w >> np.uint64(32)) * up[: len(rank)])])
+        h = (total[hi] - total[lo]) * down[lo]
+        h ^= h >> np.uint64(31)  # high bits see all words' bits, low ones only low bits
+        out.append(h * np.uint64(mixer))
+    return out
+
+
+def runs(rank: np.ndarray, starts: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
+    """First sentence, end, two hashes, and whether the text has had it before, of each run that is the shortest one from its first or to its last sentence.
 
     So the sentences of a repeated passage that has any such run are covered from its first whole one to its last.
     """
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    n, total = len(starts), np.append(starts, len(rank))
     firsts = np.arange(n)
     ends = np.maximum(np.searchsorted(total, total[:-1] + least_words), firsts + least_sentences)
     lasts = np.arange(1, n + 1)
-    starts = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, lasts - least_sentences)
-    pairs = np.concatenate([np.stack([firsts, ends], 1)[ends <= n], np.stack([starts, lasts], 1)[starts >= 0]])
-    lines = [b" ".join(w) for w in words]
-    for code in np.unique(pairs[:, 0] * (n + 1) + pairs[:, 1]).tolist():
-        i, j = divmod(code, n + 1)
-        yield i, j, xxhash.xxh3_128_intdigest(b" ".join(lines[i:j]))
+    begins = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, lasts - least_sentences)
+    code = np.unique(np.concatenate([(firsts * (n + 1) + ends)[ends <= n], (begins * (n + 1) + lasts)[begins >= 0]]))
+    first, end = code // (n + 1), code % (n + 1)
+    one, two = run_hashes(rank, total[first], total[end])
+    _, at, inverse = np.unique(one, return_index=True, return_inverse=True)
+    at = at[inverse]
+    return first, end, one, two, (at < np.arange(len(code))) & (two == two[at])
 
 
 def mark_of(text: bytes) -> int:
@@ -106,29 +165,28 @@ def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> Dat
     """hash, key, place, tag: one row for each run of each row(key, text).
 
     place holds the first sentence, the number of sentences and whether the text has had the run before, in one number;
-    tag holds 31 more bits of the run's hash and the text's mark. So 95 bits tell runs apart.
+    tag holds 31 bits of the run's other hash and the text's mark. So 95 bits tell runs apart.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks()
         for batch in batches:
-            hashes, keys, places, tags = [], [], [], []
+            found, held = [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen: set[int] = set()
                 raw = text.as_py() or b""
-                mark = mark_of(raw)
-                for i, j, h in runs(sentences(raw, ranks)[1], least_sentences, least_words):
-                    hashes.append((h & (1 << 64) - 1) - (1 << 63))
-                    keys.append(key)
-                    places.append(i * PLACE + 2 * (j - i) + (h in seen))
-                    tags.append((h >> 97) * (1 << 31) + mark)
-                    seen.add(h)
-                if len(hashes) > 100_000:
-                    yield out(hashes, keys, places, tags)
-                    hashes, keys, places, tags = [], [], [], []
-            yield out(hashes, keys, places, tags)
-
-    def out(*columns: list[int]) -> pa.RecordBatch:
+                _, rank, starts = split(raw, ranks)
+                first, end, one, two, seen = runs(rank, starts, least_sentences, least_words)
+                place = first * PLACE + 2 * (end - first) + seen
+                tag = (two >> np.uint64(33)).astype(np.int64) * (1 << 31) + mark_of(raw)
+                found.append((one.view(np.int64), np.full(len(one), key), place, tag))
+                held += len(one)
+                if held > 100_000:
+                    yield out(found)
+                    found, held = [], 0
+            yield out(found)
+
+    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place", "tag"])
 
     return rows.mapInArrow(go, "hash long, key long, place long, tag long")
@@ -192,10 +250,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 lost, first = next(((set(x["sentences"]), x["first_id"]) for x in marked if x["_q_mark"] == mark), (set(), None))
                 if changed_only and not lost:
                     continue
-                spans, words = sentences(raw or b"", ranks)
-                kept = [w for k, s in enumerate(words) if k not in lost for w in s]
-                left = remove(raw, list(lost), spans) if lost else raw
-                out.append((key.as_py(), left, len(words), len(lost), sum(map(len, words)), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), first))
+                words, _, starts = split(raw or b"", ranks)
+                left, kept = raw, words
+                if lost:
+                    spans, parts = sentences(raw, ranks)
+                    left = remove(raw, list(lost), spans)
+                    kept = [w for k, part in enumerate(parts) if k not in lost for w in part]
+                out.append((key.as_py(), left, len(starts), len(lost), len(words), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), first))
             columns = [list(c) for c in zip(*out)] or [[] for _ in names]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
