@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,6 @@ from quarry.session import materialize
 
 #: A sentence ends after . ! or ? before white space or the end, and at a line end: flags of the bytes that make an end, that may follow, and that part words.
 _MARK, _AFTER, _BLANK = (np.isin(np.arange(256), list(which)) for which in (b".!?", b" \t\r\n", b" \t\n\v\f\r"))
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of a sentence at most that is not cut.
 LONGEST = 16
 #: A longer one is cut before each word whose rank is the least among so many words on both sides.
@@ -27,18 +26,57 @@ NEAR = 4
 SENTENCES, WORDS = 2, 20
 #: Twice the sentences of a run, and one, are less; a run is no longer than its least sentences or words.
 PLACE = 1 << 20
-#: Ranks remembered; beyond, the memory starts again.
-REMEMBERED = 500_000
+#: Bytes of text whose word hashes are computed together; a longer word counts whole.
+CHUNK = 1 << 18
+#: Factors of the polynomials over bytes and over words, and what mixes their values; any odd numbers would do.
+BYTE_FACTOR, BYTE_MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_FACTORS = (0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)
+_MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
 
+class Powers:
+    """Powers of an odd factor and of its inverse modulo 2^64, as far as texts have needed them."""
 
-class Ranks(dict):
-    """Rank of a word: the first 15 hex digits of its MD5. So the words alone decide where a long sentence is cut."""
+    def __init__(self, factor: int) -> None:
+        self.steps = (factor, pow(factor, -1, 1 << 64))
+        self.tables = [np.ones(1, np.uint64) for _ in self.steps]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = rank = int(hashlib.md5(word).hexdigest()[:15], 16)
-        return rank
+    def upto(self, n: int) -> list[np.ndarray]:
+        """Both tables with n entries at least."""
+        if len(self.tables[0]) < n:
+            size = 1 << (n - 1).bit_length()
+            self.tables = [np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, step, np.uint64))) for step in self.steps]
+        return self.tables
+
+    def sums(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Polynomials of the values from each lo to hi: differences of a running one, shifted to its start."""
+        up, down = self.upto(len(values) + 1)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        return (total[hi] - total[lo]) * down[lo]
+
+
+_BYTES = Powers(BYTE_FACTOR)
+_POWERS = [Powers(x) for x in _FACTORS]
+
+
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def word_ranks(lower: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """63 bits for each word, from its bytes alone, so the words alone decide where a long sentence is cut."""
+    out, k = [np.zeros(0, np.uint64)], 0
+    while k < len(begins):
+        stop = max(k + 1, int(np.searchsorted(ends, begins[k] + CHUNK)))
+        at = begins[k]
+        out.append(_BYTES.sums(lower[at : ends[stop - 1]].astype(np.uint64), begins[k:stop] - at, ends[k:stop] - at))
+        k = stop
+    h = np.concatenate(out)
+    h ^= h >> np.uint64(31)
+    return (h * np.uint64(BYTE_MIXER) >> np.uint64(1)).view(np.int64)
 
 
 def cuts(ranks: np.ndarray, sentence: np.ndarray) -> np.ndarray:
@@ -55,26 +93,48 @@ def cuts(ranks: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least)
 
 
-def split(text: bytes, ranks: Ranks) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Lower-cased words of a text, their ranks, and the first word of each sentence; blank sentences have none.
+@dataclass
+class Split:
+    """Some texts in words and sentences, numbered through all of them."""
+
+    rank: np.ndarray  #: of each lower-cased word
+    starts: np.ndarray  #: first word of each sentence
+    first: np.ndarray  #: first sentence of each text, and the number of sentences
+    words: np.ndarray  #: words of each text
+
+
+def split(texts: list[bytes]) -> Split:
+    """Texts in words and sentences; blank sentences are left out.
 
-    Linear in the text; its bytes, words and sentences are worked on as arrays, not one by one.
+    Linear in the texts; bytes, words and sentences of all of them are worked on as arrays, not one by one.
     """
-    words = text.translate(LOWER).split()
-    rank = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
-    if not words:
-        return words, rank, np.zeros(0, np.int64)
-    raw = np.frombuffer(text, np.uint8)
-    blank = _BLANK[raw]
-    begins = np.flatnonzero(blank[:-1] > blank[1:]) + 1
-    begins = begins if blank[0] else np.append(0, begins)
+    joined = b"\n".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
+    begins, stops = word_places(raw)
+    rank = word_ranks(np.frombuffer(joined.translate(LOWER), np.uint8), begins, stops)
+    bounds = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    if not len(begins):
+        return Split(rank, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.diff(bounds))
     number = np.searchsorted(_ends(raw), begins, side="right")  # of the sentence that a word is in, blank ones counted
     starts = np.append(0, np.flatnonzero(number[1:] != number[:-1]) + 1)
-    size = np.diff(starts, append=len(words))
+    size = np.diff(starts, append=len(begins))
     if size.max() > LONGEST:
         inside = np.flatnonzero(np.repeat(size > LONGEST, size))
         starts = np.union1d(starts, inside[cuts(rank[inside], number[inside])])
-    return words, rank, starts
+    return Split(rank, starts, np.searchsorted(starts, bounds), np.diff(bounds))
+
+
+def together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of about CHUNK bytes; a longer one is by itself."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > CHUNK:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
 
 
 def _ends(raw: np.ndarray) -> np.ndarray:
@@ -83,13 +143,13 @@ def _ends(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero((raw == 10) | _MARK[raw] & after) + 1
 
 
-def sentences(text: bytes, ranks: Ranks | None = None) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
+def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
     """Byte span and lower-cased words of each sentence, blank ones left out.
 
     A sentence that isn't cut reaches from the end of the one before to its own; one that is, from word to word.
     """
-    words, _, starts = split(text, Ranks() if ranks is None else ranks)
-    begins = [m.start() for m in WORD.finditer(text)]
+    words, starts = text.translate(LOWER).split(), split([text]).starts
+    begins = word_places(np.frombuffer(text, np.uint8))[0].tolist()
     ends = [0, *_ends(np.frombuffer(text, np.uint8)).tolist(), len(text)]
     bounds, spans = [*starts.tolist(), len(words)], []
     for lo, hi in zip(bounds, bounds[1:]):
@@ -101,59 +161,37 @@ def sentences(text: bytes, ranks: Ranks | None = None) -> tuple[list[tuple[int,
     return spans, [words[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
 
 
-#: Odd factors of the two rolling hashes, and what words' ranks are multiplied by for each.
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-class Powers:
-    """Powers of a factor and of its inverse modulo 2^64, as far as texts have needed them."""
-
-    def __init__(self, factor: int) -> None:
-        self.steps = (factor, pow(factor, -1, 1 << 64))
-        self.tables = [np.ones(1, np.uint64) for _ in self.steps]
-
-    def upto(self, n: int) -> list[np.ndarray]:
-        """Both tables with n entries at least."""
-        if len(self.tables[0]) < n:
-            size = 1 << (n - 1).bit_length()
-            self.tables = [np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, step, np.uint64))) for step in self.steps]
-        return self.tables
-
-
-_POWERS = [Powers(x) for x in _FACTORS]
-
-
 def run_hashes(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the words from lo to hi, by their ranks: differences of a running polynomial, shifted to its start."""
+    """Two 64-bit hashes of the words from lo to hi, by their ranks."""
     out = []
     for powers, mixer in zip(_POWERS, _MIXERS):
-        up, down = powers.upto(len(rank) + 1)
         w = rank.view(np.uint64) * np.uint64(mixer)
         w = (w ^ w >> np.uint64(29)) * np.uint64(mixer)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w ^ w >> np.uint64(32)) * up[: len(rank)])])
-        h = (total[hi] - total[lo]) * down[lo]
-        h ^= h >> np.uint64(31)  # high bits see all words' bits, low ones only low bits
+        h = powers.sums(w ^ w >> np.uint64(32), lo, hi)
+        h ^= h >> np.uint64(31)  # high bits depend on all bits of the words, low ones on low bits only
         out.append(h * np.uint64(mixer))
     return out
 
 
-def runs(rank: np.ndarray, starts: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
-    """First sentence, end, two hashes, and whether the text has had it before, of each run that is the shortest one from its first or to its last sentence.
+def runs(texts: Split, least_sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
+    """Text, first sentence in it, length, two hashes, and whether the text has had it before, of each run that is the shortest one from its first or to its last sentence.
 
     So the sentences of a repeated passage that has any such run are covered from its first whole one to its last.
     """
-    n, total = len(starts), np.append(starts, len(rank))
+    n, total = len(texts.starts), np.append(texts.starts, len(texts.rank))
+    owner = np.repeat(np.arange(len(texts.words)), np.diff(texts.first))
+    lowest, highest = texts.first[owner], texts.first[owner + 1]
     firsts = np.arange(n)
     ends = np.maximum(np.searchsorted(total, total[:-1] + least_words), firsts + least_sentences)
-    lasts = np.arange(1, n + 1)
-    begins = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, lasts - least_sentences)
-    code = np.unique(np.concatenate([(firsts * (n + 1) + ends)[ends <= n], (begins * (n + 1) + lasts)[begins >= 0]]))
+    begins = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, firsts + 1 - least_sentences)
+    code = np.unique(np.concatenate([(firsts * (n + 1) + ends)[ends <= highest], (begins * (n + 1) + firsts + 1)[begins >= lowest]]))
     first, end = code // (n + 1), code % (n + 1)
-    one, two = run_hashes(rank, total[first], total[end])
-    _, at, inverse = np.unique(one, return_index=True, return_inverse=True)
+    one, two = run_hashes(texts.rank, total[first], total[end])
+    own = owner[first]
+    _, at, inverse = np.unique(one + own.astype(np.uint64) * np.uint64(BYTE_FACTOR), return_index=True, return_inverse=True)
     at = at[inverse]
-    return first, end, one, two, (at < np.arange(len(code))) & (two == two[at])
+    seen = (at < np.arange(len(code))) & (two == two[at]) & (own == own[at])
+    return own, first - texts.first[own], end - first, one, two, seen
 
 
 def mark_of(text: bytes) -> int:
@@ -169,25 +207,15 @@ def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> Dat
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks()
         for batch in batches:
-            found, held = [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = text.as_py() or b""
-                _, rank, starts = split(raw, ranks)
-                first, end, one, two, seen = runs(rank, starts, least_sentences, least_words)
-                place = first * PLACE + 2 * (end - first) + seen
-                tag = (two >> np.uint64(33)).astype(np.int64) * (1 << 31) + mark_of(raw)
-                found.append((one.view(np.int64), np.full(len(one), key), place, tag))
-                held += len(one)
-                if held > 100_000:
-                    yield out(found)
-                    found, held = [], 0
-            yield out(found)
-
-    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place", "tag"])
+            keys, done = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for texts in together(text.as_py() or b"" for text in batch.column(1)):
+                own, first, length, one, two, seen = runs(split(texts), least_sentences, least_words)
+                mark = np.array([mark_of(t) for t in texts])
+                tag = (two >> np.uint64(33)).astype(np.int64) * (1 << 31) + mark[own]
+                columns = one.view(np.int64), keys[done + own], first * PLACE + 2 * length + seen, tag
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place", "tag"])
+                done += len(texts)
 
     return rows.mapInArrow(go, "hash long, key long, place long, tag long")
 
@@ -205,13 +233,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = materialize(_occurrences(rows, least_sentences, least_words), "runs")
     often = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
     check, mark = F.expr("tag div 2147483648").cast("int"), F.expr("cast(pmod(tag, 2147483648L) as int)")
-    same = materialize(found.join(often, "hash").select("hash", check.alias("check"), "key", mark.alias("mark"), "place"), "repeated")
+    same = materialize(found.join(often.hint("shuffle_hash"), "hash").select("hash", check.alias("check"), "key", mark.alias("mark"), "place"), "repeated")
     first = F.min(F.struct("key", "mark")).alias("first")
     homes = same.groupBy("hash", "check").agg(F.count("*").alias("times"), first).filter("times > 1").select("hash", "check", "first")
-    later = same.join(homes, ["hash", "check"]).filter((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark")) | (F.col("place") % 2 == 1))
-    sentence = F.expr(f"sequence(place div {PLACE}, place div {PLACE} + (place % {PLACE}) div 2 - 1)")
-    covered = later.select("key", "mark", F.col("first.key").alias("home"), F.explode(sentence).alias("at"))
-    return covered.groupBy(F.col("key").alias("id"), "mark").agg(F.array_sort(F.collect_set("at")).alias("sentences"), F.min("home").alias("first_id"))
+    later = same.join(homes.hint("shuffle_hash"), ["hash", "check"]).filter((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark")) | (F.col("place") % 2 == 1))
+    by_text = later.groupBy(F.col("key").alias("id"), "mark").agg(F.collect_list("place").alias("places"), F.min("first.key").alias("first_id"))
+    sentences = F.expr(f"array_sort(array_distinct(flatten(transform(places, p -> sequence(p div {PLACE}, p div {PLACE} + (p % {PLACE}) div 2 - 1)))))")
+    return by_text.select("id", "mark", sentences.alias("sentences"), "first_id")
 
 
 def remove(text: bytes, positions: list[int], spans: list[tuple[int, int]] | None = None) -> bytes:
@@ -241,22 +269,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     joined = rows.join(by_id, F.col("id") == F.col("_q_id"), "inner" if changed_only else "left").select("id", "text", "lost")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks()
         for batch in batches:
             out: list[tuple] = []
-            for key, text, losses in zip(batch.column(0), batch.column(1), batch.column(2)):
+            counts = (n for texts in together(text.as_py() or b"" for text in batch.column(1)) for n in np.diff(split(texts).first).tolist())
+            for key, text, losses, n in zip(batch.column(0), batch.column(1), batch.column(2), counts):
                 raw, marked = text.as_py(), losses.as_py() or ()
                 mark = mark_of(raw or b"") if marked else None
                 lost, first = next(((set(x["sentences"]), x["first_id"]) for x in marked if x["_q_mark"] == mark), (set(), None))
                 if changed_only and not lost:
                     continue
-                words, _, starts = split(raw or b"", ranks)
+                words = (raw or b"").translate(LOWER).split()
                 left, kept = raw, words
                 if lost:
-                    spans, parts = sentences(raw, ranks)
+                    spans, parts = sentences(raw)
                     left = remove(raw, list(lost), spans)
                     kept = [w for k, part in enumerate(parts) if k not in lost for w in part]
-                out.append((key.as_py(), left, len(starts), len(lost), len(words), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), first))
+                out.append((key.as_py(), left, n, len(lost), len(words), len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), first))
             columns = [list(c) for c in zip(*out)] or [[] for _ in names]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]

@@ -1,6 +1,6 @@
 """DuckDB SQL with the results of the registered queries."""
 
-from quarry.llm import licenses, spans
+from quarry.llm import host_rules, licenses, sharding, spans
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD3 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -25,11 +25,15 @@ rules AS (
       unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * word_chars, 4 * n_dup_lines > n_words]) AS bad
     FROM m WHERE source IS NOT NULL)
   GROUP BY source, rule),
-prior AS (SELECT rule, avg(failed / n) AS mean, coalesce(var_samp(failed / n), 0) AS variance FROM rules GROUP BY rule),
+sums AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS every, sum(n * n) AS squares, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS spread FROM rules GROUP BY rule),
+varied AS (
+  SELECT rule, mean,
+    ((spread - every * mean * mean) / nullif(mean * (1 - mean), 0) - (hosts - 1)) / nullif(every - squares / every - (hosts - 1), 0) AS alike FROM sums),
 strength AS (
-  SELECT rule, mean, greatest(1, least(1e6, CASE WHEN variance > 0 THEN mean * (1 - mean) / variance - 1 ELSE 1e6 END)) AS strength FROM prior),
+  SELECT rule, mean, CASE WHEN alike > 0 THEN greatest({host_rules.LEAST_STRENGTH}, least({host_rules.MAX_STRENGTH}, 1 / alike - 1)) ELSE {host_rules.MAX_STRENGTH} END AS strength FROM varied),
 rejected AS (
-  SELECT DISTINCT source FROM rules JOIN strength USING (rule) WHERE (failed + mean * strength) / (n + strength) > 0.8)
+  SELECT DISTINCT source FROM rules JOIN strength USING (rule) WHERE (failed + mean * strength) / (n + strength) > 2.0 / 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.source IS NULL AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) m LEFT JOIN rejected r ON m.source = r.source
 """
@@ -138,7 +142,7 @@ SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(named.x, '') AS identifie
 FROM d LEFT JOIN counts USING (r) LEFT JOIN named USING (r) LEFT JOIN matches USING (r)
 """
 
-# A document is a text under an id. A sentence of more than LONGEST words is cut before each word whose digest is not more than
+# A word's digest is a polynomial over its bytes modulo 2^64, mixed. A document is a text under an id. A sentence of more than LONGEST words is cut before each word whose digest is not more than
 # those of the NEAR words before and after it.
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
@@ -153,11 +157,16 @@ pieces AS (
 spoken AS (
   SELECT r, line, piece, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM pieces),
 every_word AS (SELECT r, line, piece, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS nth FROM spoken WHERE len(w) > 0),
+vocabulary AS (SELECT DISTINCT word, hex(encode(word)) AS hexed FROM every_word),
+polynomials AS (
+  SELECT word, list_reduce(list_prepend(0::UHUGEINT, list_reverse(list_transform(range(length(hexed) // 2), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::INTEGER::UHUGEINT))),
+    lambda h, b: (h * {spans.BYTE_FACTOR}::UHUGEINT + b) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM vocabulary),
+digests AS (SELECT word, ((xor(h, h >> 31)::UHUGEINT * {spans.BYTE_MIXER}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT >> 1 AS digest FROM polynomials),
 ranked_words AS (
-  SELECT *, left(md5(word), 15) AS digest,
-    min(left(md5(word), 15)) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN {spans.NEAR} PRECEDING AND 1 PRECEDING) AS ahead,
-    min(left(md5(word), 15)) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN 1 FOLLOWING AND {spans.NEAR} FOLLOWING) AS behind
-  FROM every_word),
+  SELECT e.*, digest,
+    min(digest) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN {spans.NEAR} PRECEDING AND 1 PRECEDING) AS ahead,
+    min(digest) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN 1 FOLLOWING AND {spans.NEAR} FOLLOWING) AS behind
+  FROM every_word e JOIN digests USING (word)),
 cut_words AS (
   SELECT *, nth = 0 OR (n > {spans.LONGEST} AND digest <= ahead AND (behind IS NULL OR digest <= behind)) AS first FROM ranked_words),
 numbered AS (SELECT *, CAST(sum(first::INT) OVER (PARTITION BY r ORDER BY line, piece, nth) AS BIGINT) - 1 AS i FROM cut_words),
@@ -183,3 +192,13 @@ SELECT e.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0)
   coalesce(n_kept_words, 0) AS n_kept_words, coalesce(words_sha256, sha256('')) AS words_sha256, coalesce(first_doc_id, e.doc_id) AS first_doc_id
 FROM every e LEFT JOIN kept ON kept.r = e.own LEFT JOIN homes ON homes.r = e.own
 """
+
+
+def op7(shards: list[str], slots: int) -> str:
+    """The table of slots as a list, and the slot of each document from the digest of its id."""
+    table = sharding.fill(shards, slots)
+    return (
+        f"WITH t AS (SELECT {table}::INTEGER[] AS owner, {shards}::VARCHAR[] AS shards), placed AS ("
+        f"SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {slots} AS INTEGER) AS slot FROM documents)"
+        " SELECT doc_id, slot, shards[owner[slot + 1] + 1] AS shard FROM placed, t"
+    )
