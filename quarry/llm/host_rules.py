@@ -23,10 +23,10 @@ RULES = {
 }
 #: The rules by which a document fails on its own.
 BASE_RULES = ("short", "repetitive")
-#: A host is rejected if its shrunk failure rate of some rule is above this.
-MAX_RATE = 0.8
-#: Strength of the prior if all hosts have the same rate, or there is one host only.
-MAX_STRENGTH = 1e6
+#: A host is rejected if its shrunk failure rate of some rule is above this: twice as many of its documents fail as pass.
+MAX_RATE = 2 / 3
+#: Strength of the prior, as a number of documents: at least that of a uniform one, and what it is if hosts don't differ.
+LEAST_STRENGTH, MAX_STRENGTH = 2.0, 1e6
 
 
 def metrics(text: str | None) -> tuple[int, ...]:
@@ -74,18 +74,23 @@ def document_metrics(docs: DataFrame, host: Column, id_col: str = "doc_id", text
 def host_rates(measured: DataFrame) -> DataFrame:
     """host, rule, n, failed, rate: each host's failure rate of each rule, shrunk towards an empirical beta prior.
 
-    The prior of a rule has the mean and the variance of the hosts' raw rates (method of moments); hosts are counted
-    map-side first, so a host with any share of the rows costs one task no more than others. Rows without a host
-    are in no host.
+    The prior of a rule comes from the hosts by the method of moments: its mean is the rate of all documents, its
+    strength follows from how much more the hosts' rates vary, weighted by their documents, than rates of so many draws
+    would by chance. So a host of one document says little, and noise is not taken for a difference between hosts.
+    Documents are counted by host map-side first, so a host with any share of the rows costs one task no more than
+    others. Rows without a host are in no host.
     """
     failed = [F.count(F.when(F.expr(rule), 1)).alias(name) for name, rule in RULES.items()]
     counts = measured.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), *failed)
     pairs = ", ".join(f"'{name}', {name}" for name in RULES)
     rows = materialize(counts.selectExpr("host", "n", f"stack({len(RULES)}, {pairs}) AS (rule, failed)"), "hosts")
-    raw = F.col("failed") / F.col("n")
-    prior = rows.groupBy("rule").agg(F.avg(raw).alias("mean"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("variance"))
-    moment = F.when(F.col("variance") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1).otherwise(MAX_STRENGTH)
-    prior = prior.select("rule", "mean", F.greatest(F.lit(1.0), F.least(F.lit(MAX_STRENGTH), moment)).alias("strength"))
+    n, f = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = rows.groupBy("rule").agg(F.count("*").alias("hosts"), F.sum("n").alias("all"), F.sum(n * n).alias("squares"), F.sum("failed").alias("bad"), F.sum(f * f / n).alias("spread"))
+    mean = F.col("bad") / F.col("all")
+    excess = (F.col("spread") - F.col("all") * mean * mean) / F.nullif(mean * (1 - mean), F.lit(0.0)) - (F.col("hosts") - 1)
+    alike = excess / F.nullif(F.col("all") - F.col("squares") / F.col("all") - (F.col("hosts") - 1), F.lit(0.0))  # of two documents of a host
+    strength = F.when(alike > 0, F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MAX_STRENGTH), 1 / alike - 1))).otherwise(F.lit(MAX_STRENGTH))
+    prior = sums.select("rule", mean.alias("mean"), strength.alias("strength"))
     rate = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
     return rows.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", rate.alias("rate"))  # a row for each rule
 
@@ -94,8 +99,9 @@ def judge(docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str =
     """id, host, METRICS, base_failed, host_rejected, kept: one row for each row of docs.
 
     base_failed: the document fails one of BASE_RULES. kept: it does not, and its host's shrunk rate of every rule is
-    at most max_rate. Null and empty texts have no words and fail; a null host has no verdict; repeated rows count and
-    return as often as they occur.
+    at most max_rate; a rate of just max_rate passes. Null and empty texts have no words and fail; a text of any length is
+    read whole; a null host has no verdict; repeated rows count and return as often as they occur; an empty table gives
+    no rows; other columns of docs, whatever their names, are not read.
     """
     rows = materialize(document_metrics(docs, host, id_col, text_col), "metrics")
     rejected = materialize(host_rates(rows).filter(F.col("rate") > max_rate).select("host").distinct(), "rejected")

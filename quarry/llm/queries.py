@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {"op1_licenses": sql.OP1, "op2_host_rules": sql.OP2, "op3_decontamination": sql.OP3, "op4_mixing": sql.OP4, "op6_spans": sql.OP6}
+    return {"op1_licenses": sql.OP1, "op2_host_rules": sql.OP2, "op3_decontamination": sql.OP3, "op4_mixing": sql.OP4, "op6_spans": sql.OP6, "op7_sharding": sql.op7(SHARDS, sharding.SLOTS)}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Slots of the table, a prime; about a hundred times the shards or more keeps shares within a percent.
 SLOTS = 65_537
+#: Slots at most: the table is broadcast, some 16 bytes a slot and the shards' names.
+MOST_SLOTS = 1 << 22
 
 
 def _number(text: str) -> int:
@@ -23,6 +25,8 @@ def fill(shards: list[str], slots: int = SLOTS) -> list[int]:
     """
     if not shards or len(set(shards)) < len(shards):
         raise ValueError("shards need names, each its own")
+    if slots > MOST_SLOTS:
+        raise ValueError(f"a table of more than {MOST_SLOTS} slots is too large to broadcast")
     if slots < len(shards) or any(slots % k == 0 for k in range(2, int(slots**0.5) + 1)):
         raise ValueError("slots must be a prime and at least as many as shards")
     at = [_number(f"offset|{s}") % slots for s in shards]
@@ -48,7 +52,9 @@ def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: in
     """docs with the slot and shard of each row's key. No shuffle: the table has `slots` rows whatever the data are.
 
     Rows with equal keys share a shard, so repeated rows stay together; a key column with few values puts each value
-    on one shard, so shard by an id. slot_name and shard_name replace columns of docs that have these names.
+    on one shard, so shard by an id. A null key counts as an empty one; texts, null or long, are passed on unread; an empty
+    table gives an empty one. slot_name and shard_name replace columns of docs that have these names; other names are free
+    but for _q_at, _q_slot and _q_shard.
     """
     table = docs.sparkSession.createDataFrame(list(enumerate(shards[k] for k in fill(shards, slots))), "_q_slot int, _q_shard string")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (slot_name, shard_name)]

@@ -120,9 +120,13 @@ wholes AS (SELECT r, position, body, name FROM (SELECT *, {_CLEAN.format("body")
 lines AS (
   SELECT r, position, unnest(x) AS body, unnest(range(len(x))) AS line
   FROM (SELECT r, position, string_split(body, chr(10)) AS x FROM wholes WHERE name IS NULL)),
-found AS (
+every_found AS (
   SELECT r, position, 0 AS line, name FROM wholes WHERE name IS NOT NULL UNION ALL
   SELECT r, position, line, name FROM (SELECT *, {_CLEAN.format("body")} AS clean FROM lines) JOIN (SELECT name, body AS clean FROM known) k USING (clean)),
+found AS (
+  SELECT r, position, line, name
+  FROM (SELECT *, lag(name) OVER w AS name_before, lag(position) OVER w AS position_before FROM every_found WINDOW w AS (PARTITION BY r ORDER BY position, line))
+  WHERE NOT starts_with(name, 'spdx ') OR coalesce(name_before = 'spdx' AND position_before = position - 1, FALSE)),
 seq AS (SELECT r, position, name, row_number() OVER (PARTITION BY r ORDER BY position, line) - 1 AS i FROM found),
 steps AS (SELECT *, position - lag(position) OVER (PARTITION BY r ORDER BY i) AS gap FROM seq),
 fits AS (
