@@ -1,12 +1,14 @@
-"""Benchmark decontamination: a prefix-filtered join of item windows with document words, verified exactly."""
+"""Benchmark decontamination: a prefix-filtered join of item windows with document shingles, verified exactly."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from quarry.session import materialize
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space. Bytes over 127 stay.
 FOLD = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Bytes of item text indexed at a time, which takes some 150 MB; larger benchmarks meet the documents in several blocks.
-BLOCK_BYTES = 2 << 20
-
-Words = tuple[bytes, ...]
+#: Bits of the Bloom filter that says which shingles a task need emit: 16 for each shingle, between these powers of two (8 KB to 32 MB).
+LEAST_BITS, MOST_BITS = 16, 28
+#: Rows of prefixes, and texts with hits, up to which the table is broadcast; beyond, Spark joins by a shuffle and splits hot keys.
+BROADCAST_PREFIXES, BROADCAST_HITS = 200_000, 1_000_000
+#: Words whose hash is remembered, texts that a task knows to have probed, and shingles that it counts before it emits.
+REMEMBERED = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -25,177 +29,230 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def item_windows(words: list[bytes], window: int) -> set[Words]:
-    """The runs of window consecutive words; a shorter item that has words is one run."""
-    size = min(window, len(words))
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
+class Hashes(dict):
+    """64-bit hash of a word, remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-def shingles_at(words: list[bytes] | Words, size: int) -> zip:
-    """The shingle of so many words at each position."""
-    return zip(*(words[i:] for i in range(size)))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of a text's words."""
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@dataclass
-class Index:
-    """Windows of a block of items, found by their rarest shingle.
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for the shingle of so many words at each position, from the words' hashes."""
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
 
-    prefix: shingle length -> shingle -> (offset in the window, window length) of the windows that it stands for.
-    """
 
-    windows: dict[Words, list[str]]
-    prefix: dict[int, dict[Words, list[tuple[int, int]]]] = field(default_factory=dict)
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans (start, end) of words that are windows, and the items that have them.
-
-        Length bound: the window is no longer than the document. Positional bound: it lies inside the document when
-        its shingle lies where it does. Verification: the words there are exactly a window.
-        """
-        n, spans, items = len(words), set(), set()
-        for size, shingles in self.prefix.items():
-            for at, shingle in enumerate(shingles_at(words, size)):
-                if shingle in shingles:
-                    for offset, length in shingles[shingle]:
-                        start = at - offset
-                        if length <= n and 0 <= start <= n - length and (start, start + length) not in spans:
-                            found = self.windows.get(tuple(words[start : start + length]))
-                            if found is not None:
-                                spans.add((start, start + length))
-                                items.update(found)
-        return sorted(spans), items
+@dataclass(frozen=True)
+class Filter:
+    """A Bloom filter over shingle hashes, two bits each. It lets all of its shingles through, and few others."""
 
+    bits: int
+    table: np.ndarray
 
-def covered(spans: list[tuple[int, int]]) -> int:
-    """How many positions sorted spans cover."""
-    total, end = 0, 0
-    for a, b in spans:
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Positions of those hashes that may be in the filter."""
+        at, mask, six = np.arange(len(h)), np.uint64((1 << self.bits) - 1), np.uint64(6)
+        for shift in (0, 32):
+            bit = h[at] >> np.uint64(shift) & mask
+            at = at[(self.table[bit >> six] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
 
 
-def _document_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[int, set[Words]]) -> dict[Words, int]:
-    """In how many documents each shingle of the vocabulary occurs, counted over all documents."""
-    order = sorted((s for part in vocabulary.values() for s in part))
-    number = {s: i for i, s in enumerate(order)}
+def _filter(shingle_rows: DataFrame) -> Filter:
+    """The filter of a table (shingle). Its words are put together in tasks; the driver gets 2 ** MOST_BITS bits at most."""
+    n = shingle_rows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    mask = (1 << bits) - 1
+    bit = F.explode(F.array(F.expr(f"shingle & {mask}L"), F.expr(f"shiftrightunsigned(shingle, 32) & {mask}L")))
+    words = shingle_rows.select(bit.alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("value")).toPandas()
+    table = np.zeros(1 << bits - 6, np.uint64)
+    table[words.word.to_numpy(np.int64)] = words.value.to_numpy(np.int64).view(np.uint64)
+    return Filter(bits, table)
+
+
+def windows_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
+    """item, run, n, shingles: a row for each distinct window of each item, as its words and the hashes of its shingles.
+
+    A window is a run of `window` consecutive words; a shorter item that has words is one window.
+    """
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(text.as_py())
+                if not words:
+                    continue
+                size = min(window, len(words))
+                part = min(shingle, size)
+                h = shingles(hashes.of(words), part).view(np.int64)
+                seen, rows = set(), ([], [], [], [])
+                for i in range(len(words) - size + 1):
+                    run = b" ".join(words[i : i + size])
+                    if run not in seen:
+                        seen.add(run)
+                        for column, value in zip(rows, (item, run.decode("utf-8", "replace"), size, h[i : i + size - part + 1].tolist())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["item", "run", "n", "shingles"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    return items.mapInArrow(cut, "item string, run string, n long, shingles array<long>")
+
+
+def _frequencies(rows: DataFrame, wanted: Broadcast, sizes: list[int]) -> DataFrame:
+    """shingle, n: in how many rows(text) the shingles that the filter lets through occur; counted in tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[Words, int] = {}
+        hashes, found, held = Hashes(), [], 0
         for batch in batches:
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                for size, part in vocabulary.items():
-                    for shingle in part.intersection(shingles_at(words, size)):
-                        seen[shingle] = seen.get(shingle, 0) + 1
-        ids = pa.array([number[s] for s in seen], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(seen.values(), pa.int64())], ["shingle", "n"])
+                words = hashes.of(words_of(text.as_py()))
+                for size in sizes:
+                    h = shingles(words, size)
+                    found.append(np.unique(h[wanted.value.places(h)]))
+                    held += len(found[-1])
+                if held > 5 * REMEMBERED:
+                    yield out(found)
+                    found, held = [], 0
+        yield out(found)
 
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    found = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {order[r.shingle]: r.n for r in found.toLocalIterator()}
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
+    return rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
-def build_index(docs: DataFrame, items: list[tuple[str | None, bytes]], text_col: str, window: int, shingle: int) -> Index:
-    """Index of a block of items: their windows, each under the one of its shingles that fewest documents have.
 
-    Exact containment needs every shingle of a window, so one, the rarest, is prefix enough; a window with a shingle
+def prefixes(runs: DataFrame, frequency: DataFrame) -> DataFrame:
+    """shingle, offset, n, run: each window of runs(run, n, shingles) under the one of its shingles that fewest documents have.
+
+    Exact containment needs every shingle of a window, so one, the rarest, is prefix enough. A window with a shingle
     that no document has occurs nowhere and is left out.
     """
-    windows: dict[Words, list[str]] = {}
-    for item, text in items:
-        for run in item_windows(words_of(text), window):
-            windows.setdefault(run, []).extend([item] if item is not None else [])
-    vocabulary: dict[int, set[Words]] = {}
-    for run in windows:
-        size = min(shingle, len(run))
-        vocabulary.setdefault(size, set()).update(shingles_at(run, size))
-    frequency = _document_frequencies(docs, text_col, vocabulary) if windows else {}
-    index = Index({})
-    for run, found in windows.items():
-        size = min(shingle, len(run))
-        rarity, offset, rarest = min((frequency.get(s, 0), i, s) for i, s in enumerate(shingles_at(run, size)))
-        if rarity:
-            index.windows[run] = found
-            places = index.prefix.setdefault(size, {}).setdefault(rarest, [])
-            if (offset, len(run)) not in places:
-                places.append((offset, len(run)))
-    return index
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of about block_bytes of text at most, dealt by a hash of the row."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [(r.item, bytes(r.text)) for r in part.toLocalIterator()]
+    places = runs.select("run", "n", F.posexplode("shingles").alias("offset", "shingle"))
+    counted = places.join(frequency.withColumnRenamed("n", "times"), "shingle", "left")
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "shingle")).alias("r")
+    chosen = counted.groupBy("run", "n").agg(rarest).filter("r.times > 0")
+    return chosen.select("r.shingle", F.col("r.offset").cast("long").alias("offset"), "n", "run")
+
+
+def _probed(rows: DataFrame, wanted: Broadcast, sizes: list[int], window: int) -> DataFrame:
+    """A row (id, a, b, n_words) for each of rows(id, a, b, text), and one for each place of a shingle that the filter lets through.
+
+    Places have `at`, the shingle and the words around it, as many as a window that it stands for can take; `first` is the
+    position of the first of them. A text that the task has just probed gives its places once.
+    """
+    names = ["id", "a", "b", "n_words", "at", "shingle", "first", "around"]
+    kinds = [pa.int64()] * 7 + [pa.string()]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = Hashes(), set()
+        for batch in batches:
+            columns = [[] for _ in names]
+            for i, a, b, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                words = words_of(text.as_py())
+                n = len(words)
+                found = [(i, a, b, n, None, None, None, None)]
+                if (a, b) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add((a, b))
+                    hashed = hashes.of(words)
+                    for size in sizes:
+                        h = shingles(hashed, size)
+                        at = wanted.value.places(h)
+                        for k, shingle in zip(at.tolist(), h[at].view(np.int64).tolist()):
+                            lo = max(0, k - window + size)
+                            found.append((None, a, b, n, k, shingle, lo, b" ".join(words[lo : k + window]).decode("utf-8", "replace")))
+                for column, values in zip(columns, zip(*found)):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return rows.select("id", "a", "b", "text").mapInArrow(probe, "id long, a long, b long, n_words long, at long, shingle long, first long, around string")
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with 128 bits of their text's hash: _q_a, _q_b."""
+    text = F.col(f"`{text_col}`")
+    return docs.select("*", F.xxhash64(text).alias("_q_a"), F.xxhash64(F.lit(1), text).alias("_q_b"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, item_id_col: str, item_text_col: str, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows(id, a, b, n_words) of all documents, hits(a, b, start, end, run), distinct, of texts in which windows occur, and items(run, item)."""
+    marked = _marked(docs, text_col)
+    key = F.col(f"`{id_col}`") if id_col else F.lit(None)
+    rows = marked.select(key.cast("long").alias("id"), F.col("_q_a").alias("a"), F.col("_q_b").alias("b"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    spark = docs.sparkSession
+    items = materialize(windows_of(benchmark, item_id_col, item_text_col, window, shingle), "windows")
+    runs = materialize(items.groupBy("run", "n").agg(F.first("shingles").alias("shingles")), "runs")
+    sizes = sorted(min(shingle, r.n) for r in runs.select(F.least("n", F.lit(shingle)).alias("n")).distinct().collect())  # 1 to shingle
+    every = spark.sparkContext.broadcast(_filter(runs.select(F.explode("shingles").alias("shingle")).distinct()))
+    frequency = materialize(_frequencies(rows, every, sizes), "frequencies")
+    chosen = materialize(prefixes(runs, frequency), "prefixes")
+    few = chosen.count() <= BROADCAST_PREFIXES
+    rare = spark.sparkContext.broadcast(_filter(chosen.select("shingle").distinct()))
+    probed = materialize(_probed(rows, rare, sizes, window), "probed")
+
+    prefix = chosen.withColumnRenamed("shingle", "p")
+    places = probed.filter("at IS NOT NULL").select("a", "b", "n_words", "at", "shingle", "first", "around")
+    met = places.join(F.broadcast(prefix) if few else prefix, F.col("shingle") == F.col("p")).withColumn("start", F.expr("at - offset"))
+    met = met.filter("n <= n_words AND start >= 0 AND start + n <= n_words")  # length and positional bounds
+    same = F.expr("array_join(slice(split(around, ' '), cast(start - first + 1 AS int), cast(n AS int)), ' ') = run")
+    hits = met.filter(same).select("a", "b", "start", F.expr("start + n").alias("end"), "run").distinct()
+    return probed.filter("at IS NULL").select("id", "a", "b", "n_words"), materialize(hits, "hits"), items.select("run", "item")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-         item_text_col: str = "text", window: int = 10, shingle: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+         item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
     """id, n_words, spans (start and end of hit windows in words), items (sorted ids): one row for each row of docs.
 
-    Null and wordless texts have no words and no hits; items without words hit nothing; an item with a null id marks
-    words but is not listed; repeated items and rows count as they stand; an empty benchmark leaves every row clean.
-    A benchmark over block_bytes is joined block by block, each over all documents, and the hits are united.
+    Two passes over the documents, whatever the size of the benchmark: one counts the shingles of its windows, which
+    orders them by rarity, one emits the places of the windows' rarest shingles, and these meet the windows in a join.
+    Equal texts meet once. Null and wordless texts have no words and no hits, however long; items without words hit
+    nothing; an item with a null id marks words but is not listed; repeated items and rows count as they stand; ties in
+    rarity go to the first shingle; an empty benchmark leaves every row clean; an empty table gives no rows; other columns
+    may have any names but those that begin with _q_.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "id long, mark long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-
-    def run(index: Index, every: bool):
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept, n_words, spans, items = [], [], [], []
-                for i, text in enumerate(batch.column(2)):
-                    words = words_of(text.as_py())
-                    found, ids = index.hits(words)
-                    if every or found:
-                        kept.append(i)
-                        n_words.append(len(words))
-                        spans.append([{"start": a, "end": b} for a, b in found])
-                        items.append(sorted(ids))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                own = [batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["id", "mark", "n_words", "spans", "items"])
-
-        return go
-
-    marked = rows.select("id", F.xxhash64("text").alias("mark"), "text")
-    first, later = None, []
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        index = build_index(rows, items, "text", window, shingle)
-        if first is None:
-            first = marked.mapInArrow(run(index, every=True), schema)
-        else:
-            later.append(materialize(marked.mapInArrow(run(index, every=False), schema), "hits"))
-    if not later:
-        return first.drop("mark")
-    more = reduce(DataFrame.unionByName, later).groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.flatten(F.collect_set("spans")).alias("s"), F.flatten(F.collect_set("items")).alias("t"))
-    both = first.join(more, F.col("id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m")), "left")
-    united = [F.array_sort(F.array_distinct(F.concat(a, F.coalesce(b, F.slice(a, 1, 0))))).alias(a) for a, b in (("spans", "s"), ("items", "t"))]
-    return both.select("id", "n_words", *united)
+    rows, hits, owners = _hits(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, shingle)
+    spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
+    hits = hits.join(owners, "run")
+    found = materialize(hits.groupBy("a", "b").agg(spans, F.array_sort(F.collect_set("item")).alias("items")), "found").select(F.col("a").alias("x"), F.col("b").alias("y"), "spans", "items")
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS // 10 else found
+    joined = rows.join(found, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+    none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
+    return joined.select("id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-                      item_text_col: str = "text", window: int = 10, shingle: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no item window occurs, with all their columns; no join or shuffle of texts.
+                      item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
+    """The rows of docs in which no item window occurs, with all their columns.
 
-    Edge cases as in scan(): rows without words stay.
+    Texts with hits are looked up by 128 bits of hash; up to BROADCAST_HITS of them no text is shuffled. Edge cases as in
+    scan(): rows without words stay, whether null, empty or blank.
     """
-    at = docs.columns.index(text_col)
-    kept = docs
+    _, hits, _ = _hits(docs, benchmark, None, text_col, item_id_col, item_text_col, window, shingle)
+    gone = hits.select(F.col("a").alias("_q_x"), F.col("b").alias("_q_y")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_HITS else gone
+    kept = _marked(docs, text_col).join(gone, (F.col("_q_a") == F.col("_q_x")) & (F.col("_q_b") == F.col("_q_y")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    def run(index: Index):
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary())
-                yield batch.filter(pa.array([not index.hits(words_of(x.as_py()))[0] for x in texts], pa.bool_()))
 
-        return go
-
-    for k, items in enumerate(_blocks(benchmark, item_id_col, item_text_col, block_bytes)):
-        kept = materialize(kept, "clean") if k else kept  # one index in a task at a time
-        kept = kept.mapInArrow(run(build_index(docs, items, text_col, window, shingle)), docs.schema)
-    return kept
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How many positions sorted spans cover."""
+    total, end = 0, 0
+    for a, b in spans:
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
