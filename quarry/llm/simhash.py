@@ -19,6 +19,8 @@ SEED = 42
 BITS = 64
 #: Shingles whose bits are counted at a time; bounds memory for texts of any length.
 CHUNK = 1 << 16
+#: Points of a grid cell that one task compares with one another; larger cells are split.
+CELL = 1 << 13
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -119,9 +121,11 @@ def _cell_links(keys: np.ndarray, fps: np.ndarray, max_distance: int, segments:
 def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups: int = 6) -> DataFrame:
     """u, v: edges that connect exactly the fingerprints (column fp, distinct) that chains of near pairs connect.
 
-    Each point goes to its C(groups, max_distance) grid cells; a cell's pairs are bounded by Manhattan distance and
-    verified, and only a spanning forest of the links leaves a task, so a dense group yields a row for each of its
-    points, not for each pair. More groups make cells smaller for very many points, at the price of more copies.
+    Each point goes to its C(groups, max_distance) grid cells, where all coordinates of so many groups agree; a cell's
+    pairs are bounded by Manhattan distance and verified, and only a spanning forest of the links leaves a task, so a dense
+    group yields a row for each of its points, not for each pair. A cell of more than CELL points is not met there: its
+    points are dealt by hash into blocks of about CELL, and every two blocks of it meet in a task of their own. More
+    groups make cells smaller for very many points, at the price of more copies.
     """
     base = BITS // segments + 1
 
@@ -132,7 +136,7 @@ def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, keys.shape[1]))], ["cell", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, fps, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0  # over: points of the last cell that were only counted
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -140,24 +144,74 @@ def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups:
             fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             whole = int(np.searchsorted(keys, keys[-1]))  # the last cell may go on in the next batch
             if whole:
-                yield out(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        yield out(keys, fps)
-
-    def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        u, v = forest(*_cell_links(keys, fps, max_distance, segments))
+                yield out(keys[:whole], fps[:whole], over)
+                keys, fps, over = keys[whole:], fps[whole:], 0
+            if len(keys) > 2 * CELL:
+                over, keys, fps = over + len(keys) - CELL - 1, keys[: CELL + 1], fps[: CELL + 1]
+        yield out(keys, fps, over)
+
+    def out(keys: np.ndarray, fps: np.ndarray, over: int) -> pa.RecordBatch:
+        """Links of the cells up to CELL points; of larger ones a row with the cell and its number of points."""
+        cells, first, n = np.unique(keys, return_index=True, return_counts=True)
+        if over:
+            n[0] += over  # held back from the batch before, so the first one
+        large = n > CELL
+        small = ~np.isin(keys, cells[large])
+        u, v = forest(*_cell_links(keys[small], fps[small], max_distance, segments))
+        none = np.zeros(large.sum(), bool)
+        left, right = (np.concatenate([x.view(np.int64), y]) for x, y in ((u, cells[large]), (v, n[large])))
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(np.concatenate([np.ones(len(u), bool), none]))], ["u", "v", "link"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, fps = None, [], []
+        for batch in batches:
+            for key, side, fp in zip(zip(*(c.to_pylist() for c in batch.columns[:3])), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if key != now and now is not None:
+                    yield linked(now, sides, fps)
+                    sides, fps = [], []
+                now = key
+                sides.append(side)
+                fps.append(fp)
+        if now is not None:
+            yield linked(now, sides, fps)
+
+    def linked(key: tuple, sides: list[int], fps: list[int]) -> pa.RecordBatch:
+        """Links inside one block, or between two, a row of them at a time."""
+        x, side = np.array(fps, np.int64).view(np.uint64), np.array(sides)
+        a, b = (x[side == k] for k in key[1:])
+        of_a, of_b = (bit_counts(part, segments).astype(np.int8) for part in (a, b))
+        left, right = [x[:0]], [x[:0]]
+        for k, p in enumerate(a):
+            lo = k + 1 if key[1] == key[2] else 0
+            near = b[lo:][np.abs(of_b[lo:] - of_a[k]).sum(axis=1) <= max_distance]
+            near = near[np.bitwise_count(near ^ p) <= max_distance]
+            left.append(np.full(len(near), p))
+            right.append(near)
+            if len(left) > 256:
+                u, v = forest(np.concatenate(left), np.concatenate(right))
+                left, right = [u], [v]
+        u, v = forest(np.concatenate(left), np.concatenate(right))
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     cells = points.select("fp").mapInArrow(place, "cell long, fp long")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "u long, v long")
+    met = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "u long, v long, link boolean"), "links")
+    found, large = met.filter("link").select("u", "v"), met.filter("NOT link").select(F.col("u").alias("hot"), F.ceil(F.col("v") / CELL).alias("parts"))
+    n = large.count()
+    if not n:
+        return found
+    hot = cells.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, F.col("cell") == F.col("hot"))
+    sides = hot.withColumn("side", F.expr("pmod(xxhash64(fp), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    blocks = sides.select("cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
+    return found.unionByName(blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(across, "u long, v long"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 3) -> DataFrame:
     """id, fp, component_id for every row of docs; component_id is the smallest id that links reach, itself included.
 
     Rows with equal fingerprints are gathered first, so copies cost nothing in the join however many there are.
-    Null texts count as empty and link like others; a null id is never the smallest unless a component has no other;
-    repeated ids and rows keep a row each; other columns of docs are not read.
+    Null texts count as empty and link like others; a text of any length is read whole; a null id is never the smallest
+    unless a component has no other; repeated ids and rows keep a row each; an empty table gives no rows; other columns of
+    docs are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     points = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "points")
