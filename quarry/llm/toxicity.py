@@ -36,7 +36,7 @@ WITHIN = re.compile(r"[^\W\d_][0-9@$!*#|€._-]+[^\W\d_]")
 #: Words between an insult and a second-person form that count as near.
 NEAR = 5
 #: Parts of the sample for scores out of their own fold.
-FOLDS = 3
+FOLDS = 5
 #: Words whose class is remembered; beyond, the memory starts again.
 REMEMBERED = 200_000
 FEATURES = (
@@ -109,8 +109,8 @@ def features(text: str | None, classes: _Classes) -> list[float]:
     letters = max(1, capitals + count[97:123].sum() + count[192:].sum())
     symbols, marks = sum(count[b] for b in SYMBOLS), sum(count[b] for b in b".,;:!?'\"-()")
     return [
-        float(np.log1p(n)), min(listed, 50), listed / n, min(learned, 50), learned / n, min(stems, 50), stems / n, len(insult) / n, min(near, 50), you / n,
-        min(hidden, 50), mixed / n, shouted / n, capitals / letters, count[33] / size, count[63] / size, marks / size, symbols / size, digits / size,
+        float(np.log1p(n)), listed, listed / n, learned, learned / n, stems, stems / n, len(insult) / n, near, you / n,
+        hidden, mixed / n, shouted / n, capitals / letters, count[33] / size, count[63] / size, marks / size, symbols / size, digits / size,
         (raw.count(b"!!") + raw.count(b"??")) / n,
     ]
 
@@ -131,39 +131,43 @@ class Model:
 
 def terms(text: str | None) -> set[str]:
     """Words and stems of a text, as the lexicon may learn them; stems end in a star."""
-    words = {w for w in map(core, set((text or "").split())) if 2 < len(w) < 20 and w.isalpha()}
+    words = {w for w in map(core, set((text or "").split())) if len(w) > 2 and w.isalpha()}
     return words | {f"{w[:k]}*" for w in words for k in STEM_SIZES if len(w) > k}
 
 
-def learn_lexicon(sample: DataFrame, least: int = 3, odds: float = 10.0, most: int = 5000) -> Lexicon:
-    """Terms that at least `least` toxic texts have (and one in 150) and that are odds times as frequent there as elsewhere.
-
-    Equal texts count once, so that a text with many copies doesn't pass its own words off as a habit.
-    """
+def _term_counts(once: DataFrame) -> DataFrame:
+    """term, t0, c0, t1, c1 and so on: how many toxic and other texts of each fold of once(text, toxic, fold) have a term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
 
         def out() -> pa.RecordBatch:
             keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "toxic", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "cell", "n"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                seen.update((t, toxic) for t in terms(text.as_py()))
+            for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen.update((t, 2 * fold + toxic) for t in terms(text.as_py()))
                 if len(seen) > REMEMBERED:
                     yield out()
                     seen.clear()
         yield out()
 
-    once = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "texts")
-    counts = {r.toxic: r["count"] for r in once.groupBy("toxic").count().collect()}
-    found = once.mapInArrow(count, "term string, toxic int, n long")
-    n1, n0 = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
-    totals = found.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    found = once.select("text", "toxic", "fold").mapInArrow(count, "term string, cell int, n long")
+    each = [F.sum(F.when(F.col("cell") == 2 * k + toxic, F.col("n")).otherwise(0)).alias(f"{'ct'[toxic]}{k}") for k in range(FOLDS) for toxic in (0, 1)]
+    return materialize(found.groupBy("term").agg(*each), "terms")
+
+
+def _lexicon(counts: DataFrame, texts: dict[tuple[int, int], int], folds: list[int], least: int = 3, odds: float = 10.0, most: int = 5000) -> Lexicon:
+    """Terms that at least `least` toxic texts of the folds have (and one in 150) and that are odds times as frequent there as elsewhere.
+
+    The `most` telling ones, which bounds the model.
+    """
+    n1, n0 = (max(1, sum(texts.get((toxic, k), 0) for k in folds)) for toxic in (1, 0))
+    t, c = (sum((F.col(f"{letter}{k}") for k in folds[1:]), F.col(f"{letter}{folds[0]}")) for letter in "tc")
     ratio = (F.col("t") / n1) / ((F.col("c") + 0.5) / n0)
-    rows = totals.filter((F.col("t") >= max(least, n1 // 150)) & (ratio >= odds)).orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(most).collect()
-    names = [r.term for r in rows]
+    rows = counts.select("term", t.alias("t"), c.alias("c")).filter((F.col("t") >= max(least, n1 // 150)) & (ratio >= odds))
+    names = [r.term for r in rows.orderBy(F.desc(F.col("t") * F.log(ratio)), "term").limit(most).collect()]
     return Lexicon(frozenset(t for t in names if t[-1] != "*"), frozenset(t[:-1] for t in names if t[-1] == "*"))
 
 
@@ -177,48 +181,59 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     """A model from labelled documents: at most max_rows of each label, those with the least hash of their id.
 
     train: a condition over labels that chooses the rows to learn from. Rows of a class weigh as many as it has in
-    labels, so that probabilities are those of the whole. Calibration uses scores that each fold
-    of the rows gets from trees of the other folds.
-    Null labels, ids and texts are left out; without rows of both labels every score is the share of label 1.
+    labels, so that probabilities are those of the whole. The sample is parted in FOLDS by its texts, so copies lie in one;
+    a text's features come from the lexicon of the other folds, for the trees as well as for the calibration, which uses
+    scores of trees that have not seen the text's fold. Equal texts count once in a lexicon, so that a text with many
+    copies doesn't pass its own words off as a habit. An id labelled twice has the larger label, and of several texts under
+    an id one counts. Null labels, ids and texts are left out; without rows of both labels every score is the share of
+    label 1.
     """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     chosen = chosen.filter(train) if train is not None else chosen
-    ids = chosen.select(F.col(id_col).cast("long").alias("_q_id"), F.col(label_col).cast("int").alias("toxic"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
+    ids = chosen.groupBy(F.col(id_col).cast("long").alias("_q_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).withColumn("h", F.xxhash64("_q_id"))
+    ids = materialize(ids, "labels")
     every = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     parts = [ids.filter(F.col("toxic") == k).orderBy("h", "_q_id").limit(max_rows) for k in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_rows rows
     texts = docs.select(F.col(id_col).cast("long").alias("_q_key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sample = materialize(texts.join(picked, F.col("_q_key") == F.col("_q_id")).select("text", "toxic", "h"), "sample")
+    own = F.xxhash64("text")
+    found = texts.join(picked, F.col("_q_key") == F.col("_q_id")).groupBy("_q_id", "toxic", "h").agg(F.min_by("text", own).alias("text"))
+    sample = materialize(found.withColumn("fold", F.pmod(own, F.lit(FOLDS)).cast("int")), "sample")
     had = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(had) < 2:
         share = float(np.clip(every.get(1, 0) / max(1, sum(every.values())), 1e-3, 1 - 1e-3))
         return Model(Lexicon(), boosting.Boosted(float(np.log(share / (1 - share))), np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8))))
-    lexicon = learn_lexicon(sample)
+    once = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold")), "texts")
+    sizes = {(r.toxic, r.fold): r["count"] for r in once.groupBy("toxic", "fold").count().collect()}
+    counts = _term_counts(once)
+    others = [_lexicon(counts, sizes, [j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _Classes(lexicon)
+        classes = [_Classes(lexicon) for lexicon in others]
         for batch in batches:
-            rows = [features(x.as_py(), classes) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "x"])
+            rows = [features(x.as_py(), classes[k]) for x, k in zip(batch.column(0), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "fold", "x"])
 
-    rows = sample.select("text", "toxic", "h").mapInArrow(measure, "toxic int, h long, x array<double>").toPandas().sort_values(["h", "toxic"])
-    x, y = np.array(rows.x.tolist()), rows.toxic.to_numpy(float)
+    rows = sample.select("text", "toxic", "h", "fold").mapInArrow(measure, "toxic int, h long, fold int, x array<double>").toPandas().sort_values(["h", "toxic"])
+    x, y, fold = np.array(rows.x.tolist()), rows.toxic.to_numpy(float), rows.fold.to_numpy()
     weight = np.where(y == 1, every[1] / had[1], every[0] / had[0])
     weight /= weight.mean()
-    fold = rows.h.to_numpy() % FOLDS
-    apart = np.full(len(y), np.nan)
-    for k in range(FOLDS):
-        own = fold == k
-        if own.any() and len(set(y[~own])) == 2:
-            apart[own] = boosting.fit(x[~own], y[~own], weight[~own]).raw(x[own])
     trees = boosting.fit(x, y, weight)
-    apart = np.where(np.isnan(apart), trees.raw(x), apart)
+    apart = trees.raw(x)
+    for k in range(FOLDS):
+        mine = fold == k
+        if mine.any() and len(set(y[~mine])) == 2:
+            apart[mine] = boosting.fit(x[~mine], y[~mine], weight[~mine]).raw(x[mine])
     trees.calibrate(apart, y, weight)
-    return Model(lexicon, trees)
+    return Model(_lexicon(counts, sizes, list(range(FOLDS))), trees)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted for every row of docs; null and empty texts have the score of a text without words."""
+    """id, score, predicted for every row of docs; null, empty and blank texts have the score of a text without words.
+
+    A text of any length is read whole. Equal texts have equal scores; repeated rows and ids keep a row each; a score of
+    just the threshold is toxic; an empty table gives no rows; other columns of docs are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(model.lexicon)
@@ -231,7 +246,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't call toxic, with all their columns; no shuffle of texts."""
+    """The rows of docs that the model doesn't call toxic, with all their columns, of any names; no shuffle of texts.
+
+    Null, empty and blank texts, long ones, repeated rows and ties as in score(); an empty table gives an empty one.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
