@@ -187,8 +187,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, spans (start, end, kind): one row for each row of docs, in one pass over the whole texts.
 
-    Positions are code points, ends exclusive; spans of one kind do not overlap. Null counts as empty and has no
-    spans; repeated rows and ids keep a row each; other columns are not read.
+    Positions are code points, ends exclusive; spans of one kind do not overlap, and of those that would the first one
+    stands. Null, empty and blank texts have no spans; a text of any length is read whole, in time linear in it; repeated
+    rows and ids keep a row each; an empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 

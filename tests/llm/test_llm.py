@@ -175,16 +175,20 @@ def brute_hits(text, items, window):
     return len(words), len(hit), sorted(str(x) for x in ids if x is not None)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
-def test_windows_against_brute_force(spark, block):
+@pytest.mark.parametrize("most", [None, 0])
+def test_windows_against_brute_force(spark, most, monkeypatch):
+    """With the tables of prefixes and hits broadcast, and with joins that shuffle."""
+    if most is not None:
+        monkeypatch.setattr(decontaminate, "BROADCAST_PREFIXES", most)
+        monkeypatch.setattr(decontaminate, "BROADCAST_HITS", most)
     rng = random.Random(9)
     say = lambda n: " ".join(rng.choices(["a", "b", "C", "dé", "e-f", "g"], k=n))
     docs = [(i, say(rng.randrange(60))) for i in range(60)] + [(60, None), (61, ""), (62, "a"), (62, "a"), (None, say(30))]
     items = [(i, say(rng.randrange(1, 14))) for i in range(25)] + [(25, None), (26, "--"), (None, say(4)), (27, docs[3][1]), (27, docs[4][1])]
-    found = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, block_bytes=block)
+    found = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5)
     got = sorted(((r.id, r.n_words, decontaminate.covered([tuple(s) for s in r.spans]), r["items"]) for r in found.collect()), key=str)
     assert got == sorted(((i, *brute_hits(t, items, 5)) for i, t in docs), key=str)
-    clean = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, block_bytes=block)
+    clean = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5)
     assert sorted(map(str, (tuple(r) for r in clean.collect()))) == sorted(str(d) for d in docs if not brute_hits(d[1], items, 5)[1])
 
 
@@ -563,35 +567,81 @@ def test_hidden_insults_and_second_person():
 # The pipeline
 
 
-def test_pipeline_against_brute_force(spark, sf):
+def slow_times(rows):
+    """How often a mix takes each row of rows(id, source, size): sources clamped in turn, then documents in the order of their hashes."""
+    size = defaultdict(int)
+    for _, source, n in rows:
+        size[source] += n
+    order = sorted((x for x in size if x is not None), key=str.encode) + [None] * (None in size)
+    share = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+    target, open_ = {}, set(order)
+    while open_:
+        left = sum(size.values()) - sum(target.values())
+        now = {x: left * share[x] / sum(share[y] for y in open_) for x in open_}
+        over = {x for x in open_ if now[x] > 3 * size[x]}
+        target |= {x: 3 * size[x] for x in over} if over else now
+        open_ = open_ - over if over else set()
+    times = {}
+    for source in order:
+        words = int(target[source] + 0.5)
+        whole = min(3, words // size[source]) if size[source] else 0
+        extra, seen = words - whole * size[source], 0
+        own = Counter((int(hashlib.md5(f"0|{'' if i is None else i}".encode()).hexdigest()[:15], 16), n, i) for i, x, n in rows if x == source)
+        for h, n in sorted({k[:2] for k in own}):
+            alike = [(k[2], c) for k, c in own.items() if k[:2] == (h, n)]
+            together = n * sum(c for _, c in alike)
+            part = (extra - seen) // sum(c for _, c in alike) if seen <= extra else -1
+            again = seen + together <= extra or 0 <= part and 2 * part >= n
+            seen += together
+            for i, c in alike:
+                times[i, source, n] = c * (1 if n == 0 else whole + again)
+    return times
+
+
+def check_stages(spark, folder):
+    """Each stage on what the stage before kept, by brute force; returns the rows of the last."""
     import corpus_pipeline
 
-    docs = load(spark, sf, "documents")
+    docs = load(spark, folder, "documents")
     columns = docs.columns
-    bench = [(r.item_id, r.text) for r in load(spark, sf, "benchmark").collect()]
-    scores = {r.doc_id: r.predicted for r in queries.op10_toxicity(spark, sf).collect()}
+    bench = [(r.item_id, r.text) for r in load(spark, folder, "benchmark").collect()]
+    scores = {r.doc_id: r.predicted for r in queries.op10_toxicity(spark, folder).collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         had = docs.collect()
-        docs = corpus_pipeline.materialize(stage(spark, docs, sf))
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder))
         now = docs.collect()
         assert docs.columns[: len(columns)] == columns and (k == 4 or docs.columns == columns), name
-        ids = Counter(r.doc_id for r in now)
+        assert {str(r[: len(columns)]) for r in now} <= {str(r[: len(columns)]) for r in had}, name
         if k == 0:
             want = Counter(r.doc_id for r in had if not scores[r.doc_id])
         elif k == 1:
-            label = classes([slow_fingerprint(r.text, 3) for r in had])
             least = {}
-            for r, c in zip(had, label):
-                least[c] = min(r.doc_id, least.get(c, r.doc_id))
-            want = Counter(least.values())
+            for r, c in zip(had, slow_similar([r.text for r in had], 5, 8)):
+                least[c] = min(r.doc_id if r.doc_id is not None else float("inf"), least.get(c, float("inf")))
+            want = Counter(None if x == float("inf") else x for x in least.values())
         elif k == 2:
             want = Counter(r.doc_id for r in had if not brute_hits(r.text, bench, 10)[1])
+        elif k == 3:
+            want = Counter()
+            sizes = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in had]
+            for (i, _, _), n in slow_times(sizes).items():
+                want[i] += n
+            want = +want
         else:
-            want = ids
-        assert ids == want, name
-        if k == 3:
-            assert set(ids) <= {r.doc_id for r in had} and max(ids.values()) <= 3
-    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, now))
+            want = Counter(r.doc_id for r in had)
+            table = sharding.fill(queries.SHARDS)
+            for r in now:
+                slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % len(table)
+                assert (r.slot, r.shard) == (slot, queries.SHARDS[table[slot]])
+        assert Counter(r.doc_id for r in now) == want, name
+    return now
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import corpus_pipeline
+
+    now = check_stages(spark, sf)
+    assert now and sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, now))
 
 
 def slow_similar(texts, words, least):
@@ -648,11 +698,10 @@ def test_near_dedup_of_repeated_ids(spark, odd, none):
 
 
 def test_pipeline_over_awkward_rows(spark, odd, none, tmp_path):
-    import corpus_pipeline
-
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 10)], "doc_id long, quality int, toxic int")
     for folder, docs in (("odd", odd), ("none", none)):
         docs.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
         labels.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
         spark.createDataFrame([(1, "one two one two")], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
-        assert corpus_pipeline.run(spark, f"{tmp_path}/{folder}").count() >= 0
+        rows = check_stages(spark, f"{tmp_path}/{folder}")
+        assert bool(rows) == (folder == "odd")
