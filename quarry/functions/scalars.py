@@ -92,37 +92,94 @@ def queue_position(priority: Column, cohort: Column, cohorts: int = 128) -> Colu
     return priority * cohorts + cohort
 
 
-def service_time(mean: float, spread: float, seed: int) -> Column:
-    """Latency model: a normal time plus an exponential tail."""
-    return F.greatest(F.lit(0.0), F.randn(seed) * spread + mean) - F.log(1 - F.rand(seed + 1)) * spread
+def service_time(normal: Column, inflight: Column, mean: float = 0.1, spread: float = 0.05, modifier: float = 10.0) -> Column:
+    """Latency model in seconds: a normal base time, never negative, and a part that grows exponentially with what is in flight.
+
+    normal: a standard normal number for each message, as generators.normal gives it.
+    """
+    return F.greatest(F.lit(0.0), mean + spread * normal) + F.exp(inflight / modifier) / 1000
+
+
+#: Binary units of bytes, and units of time in seconds.
+BYTE_UNITS = {"TiB": 2**40, "GiB": 2**30, "MiB": 2**20, "KiB": 2**10, "bytes": 1}
+TIME_UNITS = {"hours": 3600, "minutes": 60, "seconds": 1}
 
 
 def human_bytes(size: float) -> str:
-    """Bytes with a binary unit."""
-    for unit in ("bytes", "KiB", "MiB", "GiB"):
-        if size < 1024:
-            return f"{size:.1f} {unit}"
-        size /= 1024
-    return f"{size:.1f} TiB"
+    """Bytes in the largest binary unit that they fill, one decimal."""
+    unit, scale = next(((u, x) for u, x in BYTE_UNITS.items() if size >= x), ("bytes", 1))
+    return f"{size / scale:.1f} {unit}"
 
 
 def human_seconds(seconds: float) -> str:
-    """Elapsed time in the largest units that it fills."""
-    if seconds < 60:
+    """Elapsed time in the largest units that it fills; under a minute with milliseconds."""
+    if seconds < TIME_UNITS["minutes"]:
         return f"{seconds:.3f} seconds"
-    minutes, rest = divmod(int(seconds), 60)
-    hours, minutes = divmod(minutes, 60)
-    return f"{hours} hours {minutes} minutes {rest} seconds" if hours else f"{minutes} minutes {rest} seconds"
+    shown, rest = [], int(seconds)
+    for unit, scale in TIME_UNITS.items():
+        if scale <= seconds:
+            shown.append(f"{rest // scale} {unit}")
+        rest %= scale
+    return " ".join(shown)
+
+
+def bytes_text(size: Column) -> Column:
+    """human_bytes as a Column; null stays null."""
+    text = F.lit(None).cast("string")
+    for unit, scale in reversed(BYTE_UNITS.items()):
+        text = F.when((size >= scale) | F.lit(scale == 1), F.concat(F.format_string("%.1f", size / scale), F.lit(f" {unit}"))).otherwise(text)
+    return F.when(size.isNotNull(), text)
+
+
+def seconds_text(seconds: Column) -> Column:
+    """human_seconds as a Column; null stays null."""
+    whole = F.floor(seconds)
+    parts, rest = [], whole
+    for unit, scale in TIME_UNITS.items():
+        shown = F.concat(F.floor(rest / scale).cast("string"), F.lit(f" {unit}"))
+        parts.append(F.when((whole >= scale) | F.lit(scale == 1), shown))
+        rest = rest % scale
+    short = F.concat(F.format_string("%.3f", seconds.cast("double")), F.lit(" seconds"))
+    return F.when(seconds < TIME_UNITS["minutes"], short).when(seconds.isNotNull(), F.concat_ws(" ", *parts))
 
 
 def bloom_size(n: int, fpr: float) -> tuple[int, int]:
-    """(k, m): hash functions and bits for n keys; m halves (0, 100 n) until its estimated rate is within a tenth of fpr."""
-    low, high = 0.0, 100.0 * n
-    for _ in range(200):
-        bits = (low + high) / 2
-        per_key = bits / n * math.log(2)
-        estimate = (1 - math.exp(-per_key * n / bits)) ** per_key
-        if abs(estimate - fpr) < fpr / 10:
-            return round(per_key), round(bits)
-        low, high = (low, bits) if estimate < fpr else (bits + 1, high)
-    raise ValueError(f"no size gives a rate of {fpr}")
+    """(k, m): hash functions and bits of a filter for n keys at a rate: m = -n ln fpr / (ln 2)^2, k = m / n ln 2."""
+    if not 0 < fpr < 1:
+        raise ValueError(f"no size gives a rate of {fpr}")
+    bits = math.ceil(-max(1, n) * math.log(fpr) / math.log(2) ** 2)
+    return max(1, round(bits / max(1, n) * math.log(2))), bits
+
+
+#: Offset basis and prime of the 64-bit FNV-1a hash (public domain).
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv1a(key: Column, seed: int | None = None) -> Column:
+    """64-bit FNV-1a of a text's or binary's bytes, signed; a seed is hashed as one more byte.
+
+    The bytes are folded in an expression, so it stays in the JVM. 64-bit products wrap: the prime's two parts are
+    multiplied by shifts, of which sums are taken without the check of ANSI mode.
+    """
+    data = key.cast("binary") if seed is None else F.concat(key.cast("binary"), F.unhex(F.lit(f"{seed % 256:02x}")))
+    hexed = F.hex(data)
+    places = F.sequence(F.lit(0), F.octet_length(data).cast("int"))  # one too many, so that an empty key has a sequence
+    codes = F.transform(F.slice(places, F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))
+    basis = F.lit(FNV_BASIS - (1 << 64))
+    return F.when(key.isNotNull(), F.aggregate(codes, basis, lambda h, byte: _times_prime(h.bitwiseXOR(byte))))
+
+
+def _times_prime(h: Column) -> Column:
+    """h * FNV_PRIME modulo 2^64, as a signed number, from 32-bit halves that never overflow."""
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    small = FNV_PRIME & 0xFFFF  # the prime is 2^40 + small
+    product = low * small
+    top = (F.shiftrightunsigned(product, 32) + high * small + F.shiftleft(low, 8).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(top, 32).bitwiseOR(product.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def xx_double_hash(key: Column, k: int, m: int) -> Column:
+    """k positions below m from the two halves of one 64-bit xxHash of key: (h1 + i * h2 mod 2^32) mod m."""
+    h = F.xxhash64(key.cast("string"))
+    h1, h2 = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod((h1 + i * h2).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(m)))

@@ -43,21 +43,29 @@ def replay(accesses: DataFrame, capacity: int, chunk: int = CHUNK) -> DataFrame:
 
     What a cache holds when a chunk of the sequence starts is the `capacity` keys used last before it. Those are known
     from each chunk's own last keys, at most capacity rows a chunk; with them every chunk replays in its own task.
+    Without a capacity a key hits if it was used before, and nothing is driven out.
     """
+    if not capacity:
+        seen = accesses.select("seq", F.col("key").cast("string").alias("key"))
+        first = seen.groupBy("key").agg(F.min("seq").alias("_first"))
+        return seen.join(first, "key").select("seq", "key", (F.col("seq") > F.col("_first")).alias("hit"), F.lit(None).cast("string").alias("evicted"))
     rows = accesses.select("seq", F.col("key").cast("string").alias("key"), F.expr(f"seq div {chunk}").alias("chunk"))
     used = rows.groupBy("chunk", "key").agg(F.max("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("seq")))
     tails = used.withColumn("rank", rank).filter(F.col("rank") <= capacity).drop("rank")
 
-    def starts(table: pd.DataFrame) -> pd.DataFrame:
-        cache, out = LRU(capacity), []
-        for chunk_id, part in table.sort_values("seq").groupby("chunk", sort=True):
-            out += [(chunk_id, age, key) for age, key in enumerate(cache.keys)]
-            for key in part.key:
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, cache = None, LRU(capacity)  # the content where a chunk starts, chunk by chunk, in capacity rows of memory
+        for batch in batches:
+            out = []
+            for chunk_id, key in zip(batch.chunk.tolist(), batch.key.tolist()):
+                if chunk_id != now:
+                    out += [(chunk_id, age, held) for age, held in enumerate(cache.keys)]
+                    now = chunk_id
                 cache.access(key)
-        return pd.DataFrame(out, columns=["chunk", "age", "key"])
+            yield pd.DataFrame(out, columns=["chunk", "age", "key"])
 
-    warm = tails.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(starts, "chunk bigint, age bigint, key string")
+    warm = tails.coalesce(1).sortWithinPartitions("chunk", "seq").mapInPandas(starts, "chunk bigint, age bigint, key string")
 
     def run(key: tuple, part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         cache = LRU(capacity, held.sort_values("age").key.tolist())
@@ -100,3 +108,9 @@ def statistics(replayed: DataFrame, *by: str) -> DataFrame:
     """Accesses, hits, misses and hit rate."""
     found = replayed.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
     return found.select(*by, "n", "hits", (F.col("n") - F.col("hits")).alias("misses"), F.round(F.col("hits") / F.col("n"), 6).alias("hit_rate"))
+
+
+def report(replayed: DataFrame, value: str, *by: str) -> DataFrame:
+    """Hit rate, and the 99th percentile of value over hits, which read, and over misses, which write."""
+    p99 = [F.percentile(F.when(which, F.col(value)), F.lit(0.99)).alias(name) for which, name in ((F.col("hit"), "read_p99"), (~F.col("hit"), "write_p99"))]
+    return replayed.groupBy(*by).agg(F.round(F.count_if("hit") / F.count("*"), 6).alias("hit_rate"), *p99)

@@ -7,11 +7,14 @@ An empty value is a value; only the flag deletes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarry.operators.ordered import last_known, numbered, ranged, sums_before
 from quarry.session import scratch_path
 
 #: Bytes of a record's header: four 32-bit numbers, or two 64-bit lengths in a sorted run.
@@ -68,12 +71,15 @@ def deleted_bytes(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return known.select("key", "seq", removed.cast("bigint").alias("n_bytes"))
 
 
-def file_offsets(log: DataFrame) -> DataFrame:
-    """Where each record lies in the file of its run: a log's index without its values."""
-    sized = log.withColumn("n_bytes", size_of(F.col("key"), F.col("value")).cast("bigint"))
-    over = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_bytes").over(over), F.lit(0))
-    return sized.select("run_id", "seq", "key", start.alias("record_offset"), (start + HEADER).alias("value_offset"), F.octet_length("value").cast("bigint").alias("value_size"), "n_bytes")
+def file_offsets(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Where each record lies in the file of its run: a log's index without its values.
+
+    Bytes are summed by chunks of seq, so a run of any length is spread over tasks.
+    """
+    size = size_of(F.col("key"), F.col("value")).cast("bigint")
+    sized = log.select("run_id", "seq", "key", F.octet_length("value").cast("bigint").alias("value_size"), size.alias("n_bytes"), F.expr(f"seq div {chunk}").alias("_chunk"))
+    placed = sums_before(sized, ["run_id"], "_chunk", ["seq"], {"record_offset": F.col("n_bytes")})
+    return placed.select("run_id", "seq", "key", "record_offset", (F.col("record_offset") + HEADER).alias("value_offset"), "value_size", "n_bytes")
 
 
 def rotate(log: DataFrame, cap: int, writer: Column | None = None) -> DataFrame:
@@ -101,6 +107,46 @@ def rotate(log: DataFrame, cap: int, writer: Column | None = None) -> DataFrame:
     return sized.repartition("writer").sortWithinPartitions("writer", "seq").mapInPandas(pack, "writer bigint, seq bigint, key string, n_bytes bigint, file_id bigint, file_offset bigint")
 
 
+@dataclass(frozen=True)
+class StoreOptions:
+    """What a store of sorted runs can be tuned by: keys from one index entry to the next, the rate of its Bloom filters, bytes of a memtable."""
+
+    every: int = 8
+    fpr: float = 0.01
+    memtable_bytes: int = 4 << 20
+
+
+def memtables(log: DataFrame, options: StoreOptions = StoreOptions(), writer: Column | None = None) -> DataFrame:
+    """log with run_id: a memtable is flushed as a run by the record that takes it over its size, and the next one begins.
+
+    Where a run ends depends on where the one before did, so a writer's sizes stream through one task, in sorted batches
+    and constant memory; writers are independent, and their runs numbered after one another in bands of 2^32.
+    """
+    cap = options.memtable_bytes
+    rows = log.drop("run_id").withColumns({"_writer": (F.lit(0) if writer is None else writer).cast("bigint"), "_size": size_of(F.col("key"), F.col("value")).cast("bigint")})
+    schema = T.StructType([*rows.schema.fields, T.StructField("run_id", T.LongType())])
+
+    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, run_id, held = None, 0, 0
+        for batch in batches:
+            runs = []
+            for who, size in zip(batch["_writer"].tolist(), batch["_size"].tolist()):
+                if who != now:
+                    now, run_id, held = who, who << 32, 0
+                runs.append(run_id)
+                held += size
+                if held > cap:
+                    run_id, held = run_id + 1, 0
+            yield batch.assign(run_id=runs)
+
+    return rows.repartition("_writer").sortWithinPartitions("_writer", "seq").mapInPandas(flush, schema).drop("_writer", "_size")
+
+
+def traverse(log: DataFrame) -> DataFrame:
+    """pos, key, seq, value of the live keys in key order; numbered by ranges."""
+    return numbered(snapshot(log), [F.col("key")])
+
+
 def with_runs(log: DataFrame, n_runs: int) -> DataFrame:
     """log with run_id: n_runs runs of equal length by a dense seq from 0."""
     rows = log.count()
@@ -118,8 +164,12 @@ def run_summary(log: DataFrame) -> DataFrame:
 
 
 def write_runs(log: DataFrame, path: str, level: int = 0) -> None:
-    """Runs as Parquet, sorted by key inside a folder for each level and run; min-max statistics and a bloom filter prune them."""
-    rows = runs(log).withColumn("level", F.lit(level)).repartition("level", "run_id").sortWithinPartitions("level", "run_id", "key")
+    """Runs as Parquet, sorted by key inside a folder for each level and run; min-max statistics and a bloom filter prune them.
+
+    Writers take ranges of run and key, so a large run has as many files as it has ranges.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = runs(log).withColumn("level", F.lit(level)).repartitionByRange(parts, "run_id", "key").sortWithinPartitions("level", "run_id", "key")
     rows.write.mode("append").option("parquet.bloom.filter.enabled#key", "true").partitionBy("level", "run_id").parquet(path)
 
 
@@ -142,33 +192,51 @@ def compact(tables: DataFrame) -> DataFrame:
     return newest.select("key", "r.value", "r.tombstone", F.col("r.run_id").alias("run_id")).orderBy("key")
 
 
-def compact_store(spark: SparkSession, path: str, out: str, level: int = 1) -> None:
-    """Rewrite a store's runs as one run of a higher level in a new folder; readers of the old one are not disturbed."""
+def compact_store(spark: SparkSession, path: str, out: str, level: int = 1, remove_old: bool = False) -> None:
+    """Rewrite a store's runs as one run of a higher level in a new folder; readers of the old one are not disturbed.
+
+    remove_old deletes the old folder once the new one is complete, as its last step.
+    """
     merged = compact(read_runs(spark, path)).withColumn("level", F.lit(level)).withColumn("run_id", F.lit(0).cast("bigint"))
     merged.write.partitionBy("level", "run_id").parquet(out)
+    if remove_old:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def sparse_index(tables: DataFrame, every: int) -> DataFrame:
-    """run_id, block, key, file_offset: each every-th key of each run with the offset of its record."""
-    over = Window.partitionBy("run_id").orderBy("key")
+    """run_id, block, key, file_offset: each every-th key of each run with the offset of its record.
+
+    Runs are read in ranges of their keys, and what earlier ranges hold is carried over; no task sees a whole run.
+    """
     size = size_of(F.col("key"), F.col("value")).cast("bigint")
-    rows = tables.select("run_id", "key", (F.row_number().over(over) - 1).alias("rn"), F.coalesce(F.sum(size).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_offset"))
-    return rows.filter(F.col("rn") % every == 0).select("run_id", F.expr(f"cast(rn div {every} AS bigint)").alias("block"), "key", "file_offset")
+    rows = ranged(tables.select("run_id", "key", size.alias("n_bytes")), "run_id", "key")
+    placed = sums_before(rows, ["run_id"], "_part", ["key"], {"rn": F.lit(1).cast("bigint"), "file_offset": F.col("n_bytes")})
+    return placed.filter(F.col("rn") % every == 0).select("run_id", F.expr(f"cast(rn div {every} AS bigint)").alias("block"), "key", "file_offset")
 
 
-def range_lookup(index: DataFrame, probes: DataFrame, key: str = "key", salt: int = 1) -> DataFrame:
+def range_lookup(index: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
     """For each probe the block whose index keys enclose it; block 0 for keys below the first.
 
-    An as-of join by union and carry-forward: one sort of both sides, no nested loop. index: run_id, block, key.
+    An as-of join by union and carry-forward in ranges of both sides' keys: no nested loop, and no task for a whole run.
+    index: run_id, block, key.
     """
     both = index.select("run_id", F.col(key).alias("k"), F.lit(0).alias("is_probe"), "block").unionByName(
         probes.select("run_id", F.col(key).alias("k"), F.lit(1).alias("is_probe"), F.lit(None).cast("bigint").alias("block"))
     )
-    over = Window.partitionBy("run_id").orderBy("k", "is_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.withColumn("at", F.last("block", ignorenulls=True).over(over))
+    carried = last_known(ranged(both, "run_id", "k", "is_probe"), ["run_id"], "_part", ["k", "is_probe"], "block", "at")
     return carried.filter("is_probe = 1").select("run_id", F.col("k").alias(key), F.coalesce("at", F.lit(0)).cast("bigint").alias("block"))
 
 
+def read_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """run_id, key, value, tombstone of a bounded list of keys in a store of runs.
+
+    The keys are pushed to the scan, which skips the files and row groups whose key statistics or Bloom filter exclude them.
+    """
+    rows = read_runs(spark, path)
+    return rows.filter(F.col("key").isin(keys)).select("run_id", "key", "value", "tombstone")
+
+
 def append(log: DataFrame, path: str) -> None:
     """Append records to a log on disk: immutable files, one commit."""
     log.write.mode("append").parquet(path)

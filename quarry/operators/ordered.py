@@ -11,15 +11,19 @@ from quarry.session import materialize
 CHUNK = 100_000
 
 
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df in ranges of an order, numbered in column _part, written once: one task each, whatever values are common."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "pos", start: int = 0) -> DataFrame:
     """df with the dense position of each row in a total order.
 
     Rows are range-partitioned and numbered inside their partition; only the partitions' sizes are summed up, one
     row each. The order must tell all rows apart for the numbering to be repeatable.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    spread = df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    spread = materialize(spread, "ranges")
+    spread = ranged(df, *order)
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
     offsets = sizes.select(F.col("_part").alias("_p"), before.alias("_before"))
@@ -28,6 +32,34 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos", start: int =
     return joined.withColumn(name, (F.col("_before") + F.col("_local") - 1 + start).cast("long")).drop("_part", "_p", "_before", "_local")
 
 
+def sums_before(df: DataFrame, by: list[str], bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with name -> sum of a value over the rows before each one of its group `by`, in the order (bucket, order).
+
+    Buckets are summed first and their totals accumulated, a row for each bucket of a group; the window runs inside
+    buckets only, so a group of any size is spread over as many tasks as it has buckets.
+    """
+    rows = df.withColumns({f"_v{k}": v for k, v in enumerate(values.values())})
+    totals = rows.groupBy(*by, bucket).agg(*[F.sum(f"_v{k}").alias(f"_t{k}") for k in range(len(values))])
+    ahead = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, bucket, *[F.coalesce(F.sum(f"_t{k}").over(ahead), F.lit(0)).alias(f"_c{k}") for k in range(len(values))])
+    inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_w{k}": F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)) for k in range(len(values))}).join(carried, [*by, bucket])
+    found = rows.withColumns({name: F.col(f"_w{k}") + F.col(f"_c{k}") for k, name in enumerate(values)})
+    return found.drop(*[f"_{x}{k}" for x in "vcw" for k in range(len(values))])
+
+
+def last_known(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last value that is not null, of each row or one before it in its group `by`, in the order (bucket, order).
+
+    What earlier buckets end with is carried over, a row for each bucket of a group.
+    """
+    last = df.groupBy(*by, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    ahead = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*by, bucket, F.last("_last", ignorenulls=True).over(ahead).alias("_carried"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_inside", inside).join(carried, [*by, bucket]).withColumn(name, F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
+
+
 def prefix_sum(df: DataFrame, bucket: str, order: list[str], value: str, name: str, exclusive: bool = False) -> DataFrame:
     """df with the running sum of value in the order (bucket, order).
 

@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -121,9 +122,10 @@ def latency_quantile(rows: DataFrame, by: list[str], value: str, q: float, accur
     return rows.groupBy(*by).agg(found.alias("quantile"), F.count("*").alias("n"), F.min(value).alias("least"))
 
 
-def rolling_covariance(rows: DataFrame, order: str, x: str, y: str, frame: int = INTERVALS) -> DataFrame:
-    """rows with the sample covariance of x and y over the last `frame` intervals; one row for each interval."""
-    return rows.withColumn("cov", F.covar_samp(x, y).over(Window.orderBy(order).rowsBetween(1 - frame, Window.currentRow)))
+def rolling_covariance(rows: DataFrame, order: str, x: str, y: str, frame: int = INTERVALS, lane: str | None = None) -> DataFrame:
+    """rows with the sample covariance of x and y over the last `frame` intervals of a lane; one row for each interval."""
+    over = Window.partitionBy(F.lit(0) if lane is None else F.col(lane)).orderBy(order)
+    return rows.withColumn("cov", F.covar_samp(x, y).over(over.rowsBetween(1 - frame, Window.currentRow)))
 
 
 @dataclass
@@ -185,6 +187,100 @@ def closed_loop(rows: DataFrame, limit: int, tick: Column, lane: Column | None =
     return events.repartition("lane").sortWithinPartitions("lane", "tick", "seq").mapInPandas(run, "lane bigint, tick bigint, n_in bigint, n_out bigint, ratio double")
 
 
+class Router:
+    """A priority queue in front of a limited number of workers, looked at every `tick` seconds.
+
+    At a tick the head of the queue, the least position, is dropped if it is older than `age`, handed out if fewer than
+    `limit` messages are in flight, and so on until neither. Times are seconds.
+    """
+
+    def __init__(self, limit: int, tick: float, age: float) -> None:
+        self.limit, self.tick, self.age = limit, tick, age
+        self.queue: list[tuple] = []  # position, seq, arrival, service time
+        self.running: list[float] = []  # ends
+        self.changes = 0.0  # when something can happen next
+        self.done: list[tuple] = []  # seq, start or None, end or None, in flight with it
+
+    def _look(self, now: float) -> None:
+        while self.running and self.running[0] <= now:
+            heappop(self.running)
+        while self.queue:
+            _, seq, at, service = self.queue[0]
+            if now - at > self.age:
+                self.done.append((seq, None, None, len(self.running)))
+            elif len(self.running) < self.limit:
+                heappush(self.running, now + service)
+                self.done.append((seq, now, now + service, len(self.running)))
+            else:
+                return
+            heappop(self.queue)
+
+    def run(self, until: float) -> None:
+        """Looks at all ticks before `until` at which something can happen; between them nothing does."""
+        while self.queue:
+            change = self.changes
+            now = math.ceil(change / self.tick) * self.tick
+            if now >= until:
+                return
+            self._look(now)
+            head = self.queue[0] if self.queue else None
+            if head:
+                ends = self.running[0] if self.running else math.inf
+                self.changes = max(now + self.tick / 2, min(ends, head[2] + self.age))
+
+    def arrive(self, seq: int, at: float, pos: float, service: float) -> None:
+        """Takes a message in, after all ticks before its arrival."""
+        self.run(at)
+        if not self.queue:
+            self.changes = at
+        elif (pos, seq) < self.queue[0][:2]:
+            self.changes = min(self.changes, at)
+        heappush(self.queue, (pos, seq, at, service))
+
+
+def route(rows: DataFrame, limit: int, tick: float, age: float, lane: Column | None = None) -> DataFrame:
+    """lane, seq, started, finished, expired, in_flight of rows(seq, at, pos, service) that go through a Router.
+
+    Messages that come too old to the head of the queue have neither start nor end. finished tells downstream when a
+    message was done and after how long. in_flight counts the message itself and never exceeds limit. A lane's messages
+    stream through one task by arrival; its state is the queue, which age bounds, and what is in flight. Lanes, such as
+    shards of a service, are independent.
+    """
+    events = rows.select((F.lit(0) if lane is None else lane).cast("bigint").alias("lane"), "seq", *[F.col(c).cast("double").alias(c) for c in ("at", "pos", "service")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        router, now = None, None
+        for batch in batches:
+            out = []
+            for lane_id, seq, at, pos, service in zip(*(batch[c].tolist() for c in ("lane", "seq", "at", "pos", "service"))):
+                if lane_id != now:
+                    if router:
+                        router.run(math.inf)
+                        out.append(frame(now, router))
+                    router, now = Router(limit, tick, age), lane_id
+                router.arrive(seq, at, pos, service)
+                if len(router.done) > CHUNK:
+                    out.append(frame(now, router))
+            yield from out
+        if router:
+            router.run(math.inf)
+            yield frame(now, router)
+
+    def frame(lane_id: int, router: Router) -> pd.DataFrame:
+        found = pd.DataFrame(router.done, columns=["seq", "started", "finished", "in_flight"]).astype({"started": float, "finished": float})
+        router.done = []
+        return found.assign(lane=lane_id, expired=found.started.isna())[["lane", "seq", "started", "finished", "expired", "in_flight"]]
+
+    found = events.repartition("lane").sortWithinPartitions("lane", "at", "seq").mapInPandas(run, "lane bigint, seq bigint, started double, finished double, expired boolean, in_flight bigint")
+    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("started", "finished")})
+
+
+def running_least(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """rows with least_so_far, the minimum since the group `by`, such as an interval, began."""
+    over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("least_so_far", F.min(value).over(over))
+
+
 def close_intervals(rows: DataFrame, lane: Column | None = None, least_rows: int = INTERVAL_ROWS, least_seconds: float = INTERVAL_SECONDS) -> DataFrame:
     """rows(seq, at, latency) with interval: closed by the sample that has more than least_rows and least_seconds.
 
@@ -224,17 +320,35 @@ def tuned_limit(limit: int, cov: float | None, slowdown: float | None, floor: in
 
 
 def tune(intervals: DataFrame, start: int) -> DataFrame:
-    """lane, interval, limit over intervals(lane, interval, cov, slowdown): a fold, a row for each interval of a lane."""
+    """lane, interval, limit over intervals(lane, interval, cov, slowdown): a fold, a row for each interval of a lane.
+
+    With a column `times` the clock decides how often the limit follows an interval's slowdown: as many times as
+    adjustments are due before the next interval ends; see due(). Without, once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, limit = None, start
         for batch in batches:
             out = []
-            for lane_id, cov, slowdown in zip(batch.lane.tolist(), batch["cov"].tolist(), batch.slowdown.tolist()):
+            for lane_id, cov, slowdown, times in zip(batch.lane.tolist(), batch["cov"].tolist(), batch.slowdown.tolist(), batch.times.tolist()):
                 now, limit = lane_id, (limit if lane_id == now else start)
-                limit = tuned_limit(limit, *(None if x is None or x != x else x for x in (cov, slowdown)))
+                cov, slowdown = (None if x is None or x != x else x for x in (cov, slowdown))
+                limit = tuned_limit(limit, cov, slowdown if times else None)
+                for _ in range(times - 1):
+                    limit = tuned_limit(limit, None, slowdown)
                 out.append(limit)
             yield pd.DataFrame({"lane": batch.lane, "interval": batch.interval, "limit": out})
 
-    rows = intervals.select(F.col("lane").cast("bigint"), F.col("interval").cast("bigint"), F.col("cov").cast("double"), F.col("slowdown").cast("double"))
+    times = F.col("times") if "times" in intervals.columns else F.lit(1)
+    rows = intervals.select(F.col("lane").cast("bigint"), F.col("interval").cast("bigint"), F.col("cov").cast("double"), F.col("slowdown").cast("double"), times.cast("bigint").alias("times"))
     return rows.repartition("lane").sortWithinPartitions("lane", "interval").mapInPandas(run, "lane bigint, interval bigint, limit bigint")
+
+
+#: Fixed value: seconds from one adjustment of a limit to the next.
+ADJUST_SECONDS = 5.0
+
+
+def due(intervals: DataFrame, closed: str, period: float = ADJUST_SECONDS) -> DataFrame:
+    """intervals(lane, interval, and the second in which each closed) with times: adjustments from then until the next one closes."""
+    after = F.lead(closed).over(Window.partitionBy("lane").orderBy("interval"))
+    return intervals.withColumn("times", F.coalesce(F.floor(after / period) - F.floor(F.col(closed) / period), F.lit(0)).cast("bigint"))

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import prefix_sum
-from quarry.session import materialize
+from quarry.operators.ordered import prefix_sum, ranged, sums_before
 
 #: Width of a drawing and of its two margins, in pixels.
 WIDTH, MARGINS = 1200, 20
@@ -40,18 +39,19 @@ def with_wakers(frames: Column, mark: str = "--") -> Column:
     return F.transform(frames, lambda f, i: F.when((first > 0) & (i >= first) & (f != mark), F.concat(f, F.lit("_[w]"))).otherwise(f))
 
 
-def _ranges(folded: DataFrame) -> DataFrame:
-    """folded in ranges of the order of frame arrays, numbered in column _part, one task each whatever frames are common."""
-    parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(folded.repartitionByRange(parts, "frames").withColumn("_part", F.spark_partition_id()), "ranges")
-
-
 def layout(folded: DataFrame) -> DataFrame:
     """folded with start and end on the running sum of n in the order of frame arrays."""
-    summed = prefix_sum(_ranges(folded), "_part", ["frames"], "n", "end")
+    summed = prefix_sum(ranged(folded, "frames"), "_part", ["frames"], "n", "end")
     return summed.select("frames", "n", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
+def chart(samples: DataFrame, seq: str = "seq") -> DataFrame:
+    """samples(frames, n, and their order) with start and end on the running sum of n in reverse order of input, as flame charts show time."""
+    rows = ranged(samples.withColumn("_back", -F.col(seq)), "_back")
+    placed = sums_before(rows, [], "_part", ["_back"], {"start": F.col("n")})
+    return placed.select(seq, "frames", "n", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
 def prefixes(frames: Column) -> Column:
     """All prefixes of an array, the empty one first."""
     return F.transform(F.sequence(F.lit(0), F.size(frames)), lambda k: F.slice(frames, F.lit(1), k))
@@ -75,7 +75,7 @@ def prune(tree: DataFrame, pixels: float | None = None, percent: float | None =
 
 def common_prefix(folded: DataFrame) -> DataFrame:
     """folded with shared: how many leading frames a stack has in common with the one before it in the layout."""
-    rows = _ranges(folded)
+    rows = ranged(folded, "frames")
     tails = rows.groupBy("_part").agg(F.max("frames").alias("tail"))
     carried = tails.select(F.col("_part").alias("p"), F.lag("tail").over(Window.orderBy("_part")).alias("carried"))
     inside = F.lag("frames").over(Window.partitionBy("_part").orderBy("frames"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import bloom_size, cents, extension, queue_position
+from quarry.functions.scalars import cents, extension, queue_position
 from quarry.operators import aggregate, cache, keyedlog, membership, placement, sequences, shedder, stacks
 from quarry.plans.dialect import Engine
 from quarry.session import load, materialize, scratch_path
@@ -177,11 +177,11 @@ def log_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth customer number as a key; most are missing."""
-    return load(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").cast("string").alias("key"))
+    """All customer numbers as keys; most are missing."""
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
 
 
-_PROBES = "probes AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 10 = 0)"
+_PROBES = "probes AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer)"
 
 
 @query(f"WITH {_LOG}, {_LAST}, {_PROBES} SELECT p.key, coalesce(l.value, '') AS value, l.key IS NOT NULL AS found FROM probes p LEFT JOIN (SELECT * FROM last WHERE NOT tombstone) l ON p.key = l.key")
@@ -258,8 +258,8 @@ def lsm_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_LOG}, {_RUNS}, {_INDEX}, asked AS (SELECT DISTINCT run_id, p.key FROM runs, (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 10 = 0) p)"
-    " SELECT a.run_id, a.key, coalesce(max(i.block), 0) AS block FROM asked a LEFT JOIN idx i ON i.run_id = a.run_id AND i.key <= a.key GROUP BY a.run_id, a.key"
+    f"WITH {_LOG}, {_RUNS}, {_INDEX}, asked AS (SELECT run_id, p.key FROM (SELECT DISTINCT run_id FROM runs), (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer) p)"
+    " SELECT a.run_id, a.key, coalesce(i.block, 0) AS block FROM asked a ASOF LEFT JOIN idx i ON i.run_id = a.run_id AND i.key <= a.key"
 )
 def lsm_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block of each run that a probed key would be in."""
@@ -271,42 +271,35 @@ def lsm_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Membership and placement
 
 
-def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """Even customer numbers, and the filter size for them."""
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Even customer numbers, the bits of a filter sized for them, and its k and m."""
     keys = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"))
-    k, m = bloom_size(_BLOOM_KEYS, BLOOM_FPR)
-    return keys, k, m
+    return keys, *membership.build(keys, "key", BLOOM_FPR)
 
 
-#: Keys that the Bloom queries size their filter for.
-_BLOOM_KEYS = 750
-_K, _M = bloom_size(_BLOOM_KEYS, BLOOM_FPR)
-_POSITIONS = f"(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 8))::UBIGINT::BIGINT + i * ('0x' || substr(md5(CAST(key AS VARCHAR)), 9, 8))::UBIGINT::BIGINT) % {_M}"
+_POSITIONS = "(('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 8))::UBIGINT::BIGINT + i * ('0x' || substr(md5(CAST(key AS VARCHAR)), 9, 8))::UBIGINT::BIGINT) % m"
 _BLOOM = (
-    "members AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 2 = 0),"
-    f" bits AS (SELECT DISTINCT {_POSITIONS} AS position FROM (SELECT key, unnest(range({_K})) AS i FROM members)),"
+    "members AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 2 = 0),"
+    f" bits_of AS (SELECT n, CAST(ceil(-n * ln({BLOOM_FPR}) / (ln(2) * ln(2))) AS BIGINT) AS m FROM (SELECT greatest(1, count(*)) AS n FROM members)),"
+    " size AS (SELECT m, greatest(1, CAST(round(m / n * ln(2)) AS BIGINT)) AS k FROM bits_of),"
+    f" bits AS (SELECT DISTINCT {_POSITIONS} AS position FROM (SELECT key, m, unnest(range(k)) AS i FROM members, size)),"
     " asked AS (SELECT DISTINCT o_custkey AS key FROM orders),"
-    f" places AS (SELECT DISTINCT key, {_POSITIONS} AS position FROM (SELECT key, unnest(range({_K})) AS i FROM asked)),"
+    f" places AS (SELECT DISTINCT key, {_POSITIONS} AS position FROM (SELECT key, m, unnest(range(k)) AS i FROM asked, size)),"
     " probed AS (SELECT key, bool_and(b.position IS NOT NULL) AS hit FROM places p LEFT JOIN bits b USING (position) GROUP BY key)"
 )
 
 
 @query(f"WITH {_BLOOM} SELECT position FROM bits")
 def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set bits of a filter over even customer numbers."""
-    return membership.bits(*_spread(_members(spark, sf_dir)))
-
-
-def _spread(members: tuple[DataFrame, int, int]) -> tuple[DataFrame, str, int, int]:
-    keys, k, m = members
-    return keys, "key", k, m
+    """Set bits of a filter over even customer numbers, sized by their count."""
+    return _members(spark, sf_dir)[1]
 
 
 @query(f"WITH {_BLOOM} SELECT key, hit FROM probed")
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of orders against the filter, saved and read back."""
-    keys, k, m = _members(spark, sf_dir)
-    saved = spark.read.parquet(membership.save(membership.bits(keys, "key", k, m)))
+    _, bits, k, m = _members(spark, sf_dir)
+    saved = spark.read.parquet(membership.save(bits))
     return membership.probe(saved, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key", k, m)
 
 
@@ -508,7 +501,7 @@ def latency_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("latency"))
     dealt = shedder.close_intervals(rows)
     found = materialize(dealt.groupBy("lane", "interval").agg(F.percentile("latency", F.lit(0.9)).alias("p90"), F.percentile("latency", F.lit(0.5)).alias("p50"), F.min("latency").alias("least"), F.count("*").alias("n")), "intervals")
-    history = shedder.rolling_covariance(found.withColumn("rate", F.col("n") / F.col("p90")), "interval", "p90", "rate")
+    history = shedder.rolling_covariance(found.withColumn("rate", F.col("n") / F.col("p90")), "interval", "p90", "rate", lane="lane")
     tuned = shedder.tune(history.select("lane", "interval", "cov", (F.col("p50") / F.nullif("least", F.lit(0.0))).alias("slowdown")), 50)
     return found.join(tuned, ["lane", "interval"]).drop("lane")
 
@@ -643,8 +636,8 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gen_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of ten thousand generated measurements."""
-    names = [r.n_name for r in load(spark, sf_dir, "nation").select("n_name").limit(1000).collect()]
+    """Statistics of ten thousand generated measurements, named after the 25 nations."""
+    names = [r.n_name for r in load(spark, sf_dir, "nation").select("n_name").distinct().collect()]
     return aggregate.key_stats(generators.measurements(spark, 10_000, names), "key", "value")
 
 
@@ -655,3 +648,6 @@ def running_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = load(spark, sf_dir, "events").groupBy(cents(F.col("value")).alias("cents")).agg(F.count("*").alias("n"))
     return prefix_sum(rows.withColumn("bucket", F.expr("cents div 1000")), "bucket", ["cents"], "n", "running").drop("bucket")
+
+
+from quarry.plans import formats, machines  # noqa: E402, F401  they register their queries here

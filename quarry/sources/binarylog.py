@@ -84,9 +84,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                        F.col("key").cast("string"), F.col("value").cast("string"), (F.octet_length("value") == 0).alias("tombstone"))
 
 
-def _decoded(spark: SparkSession, path: str, decoder: Callable[[bytes], Iterable[tuple[int, int, bytes, bytes]]]) -> DataFrame:
-    """file_id, file_offset, ts, key, value of whole files, one file at a time in a task; files are cut to a size by their writers."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def pack(log: DataFrame, file_id: str = "run_id", order: str = "seq", sorted_run: bool = False) -> DataFrame:
+    """path, content of the files of log(key, value, and the two columns named): a row for each file, as binaryFile reads them.
+
+    A log file has its records in the given order, a sorted run by key. Files are cut to a size by who names them.
+    """
+    schema = "path string, content binary"
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for who, at, key, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if who != now and parts:
+                    yield out(now, parts)
+                    parts = []
+                now = who
+                parts.append(encode_run([(key, value)]) if sorted_run else encode([(at % (1 << 32), 0, key, value)]))
+        if parts:
+            yield out(now, parts)
+
+    def out(who: int, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"{who}.log"]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+
+    rows = log.select(F.col(file_id).cast("long").alias("who"), F.col(order).cast("long").alias("at"), F.col("key").cast("binary"), F.col("value").cast("binary"))
+    return rows.repartition("who").sortWithinPartitions("who", "key" if sorted_run else "at").mapInArrow(files, schema)
+
+
+def unpack(files: DataFrame, decoder: Callable[[bytes], Iterable[tuple[int, int, bytes, bytes]]] | None = None) -> DataFrame:
+    """file_id, file_offset, ts, key, value of files(path, content); those of a log unless a decoder is given."""
+    decoder = decoder or (lambda data: ((o, ts, k, v) for o, ts, _, k, v in decode(data)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,4 +123,26 @@ def _decoded(spark: SparkSession, path: str, decoder: Callable[[bytes], Iterable
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file_id", "file_offset", "ts", "key", "value"])
 
-    return files.mapInArrow(run, "file_id long, file_offset long, ts long, key binary, value binary")
+    return files.select("path", "content").mapInArrow(run, "file_id long, file_offset long, ts long, key binary, value binary")
+
+
+def read_blocks(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """run_id, file_offset, key, value of the blocks(run_id, start, stop) of sorted runs files(path, content); other bytes are not decoded."""
+    schema = "run_id long, file_offset long, key string, value string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for who, start, stop, content in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(who, at, k.decode(), v.decode()) for at, k, v in decode_run(content, start, stop)]
+            columns = [list(c) for c in zip(*rows)] or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["run_id", "file_offset", "key", "value"])
+
+    number = F.regexp_extract("path", r"(\d+)\D*$", 1).cast("long")
+    asked = files.select(number.alias("r"), "content").join(blocks, F.col("r") == F.col("run_id"))
+    return asked.select("run_id", "start", F.coalesce("stop", F.octet_length("content").cast("long")), "content").mapInArrow(run, schema)
+
+
+def _decoded(spark: SparkSession, path: str, decoder: Callable[[bytes], Iterable[tuple[int, int, bytes, bytes]]]) -> DataFrame:
+    """unpack() of whole files below a path, one file at a time in a task; files are cut to a size by their writers."""
+    return unpack(spark.read.format("binaryFile").load(path), decoder)

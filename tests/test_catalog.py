@@ -29,9 +29,10 @@ def test_golden(spark):
     assert QUERIES["log_snapshot"](spark, sf).count() == 120
     assert QUERIES["jump_assign"](spark, sf).agg(F.sum("bucket")).first()[0] == 11182
     assert tuple(QUERIES["jump_moved"](spark, sf).first())[1:] == (85, 85)
-    assert bloom_size(750, 0.01) == (7, 7326)
-    assert bloom_size(10_000, 0.01) == (7, 97658)
-    assert tuple(QUERIES["bloom_fpr"](spark, sf).first()) == (750, 750, 750, 3)
+    assert bloom_size(750, 0.01) == (7, 7189)
+    assert bloom_size(10_000, 0.01) == (7, 95851)
+    members, hit, others, false = QUERIES["bloom_fpr"](spark, sf).first()
+    assert (members, hit, others) == (750, 750, 750) and false <= 15  # 1 % are expected
 
 
 def test_closed_loop_follows_the_controller(spark, sf):
