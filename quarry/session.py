@@ -33,10 +33,16 @@ def build_session(app: str = "quarry", master: str = "local[*]", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one of this process."""
+    """The folder of spark.checkpoint.dir. Where it is unset and all runs in one process, as in tests, a temporary one.
+
+    On a cluster a folder of one machine would be no use to the others, so there it is an error.
+    """
     named = spark.conf.get(_SHARED_CONF, None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {_SHARED_CONF} to a folder that all machines of {master} share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quarry-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
