@@ -114,22 +114,27 @@ def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
     share = F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("n"))  # about twice max_docs of each, by hash: no sort of all
     limits = counts.select(F.col("lang").alias("l"), (share * float(1 << 62)).cast("long").alias("below"))
     likely = rows.join(F.broadcast(limits), F.col("lang") == F.col("l")).filter(F.pmod("h", F.lit(1 << 62)) <= F.col("below"))  # a row for each language
-    once = likely.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("lang", "h", "text")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # a task's copies of a text count once, here and below
         for part in batches:
             langs, hashes, found = [], [], []
-            for lang, h, text in zip(*(c.to_pylist() for c in part.columns)):
-                line = normalised(text)
-                if line and has_letter(text):
+            for lang, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                if (lang, h) in seen:
+                    continue
+                seen.add((lang, h))
+                line = normalised(text.as_py())
+                if line and has_letter(text.as_py()):
                     langs.append(lang)
                     hashes.append(h)
                     found.append(windows(line, windows_per_doc, h).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["lang", "h", "windows"])
 
-    sample = chosen.mapInArrow(draw, "lang string, h long, windows binary").toPandas().sort_values(["lang", "h"])
+    drawn = likely.select("lang", "h", "text").mapInArrow(draw, "lang string, h long, windows binary")
+    once = drawn.groupBy("lang", "h").agg(F.first("windows").alias("windows"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("lang", "h", "windows")
+    sample = chosen.toPandas().sort_values(["lang", "h"])
     languages = sorted(sample.lang.unique())
     if len(languages) < 2:
         return Model(languages, None)

@@ -308,3 +308,35 @@ def test_toxicity_learns_and_is_calibrated(spark):
     assert len(got) == 299 and sum(caught) / len(caught) > 0.9 and sum(p for y, _, p in got if not y) <= 6
     assert abs(sum(s for _, s, _ in got) - sum(y for y, _, _ in got)) < 15
     assert sum((s - y) ** 2 for y, s, _ in got) / len(got) < 0.05
+
+
+# Decontamination
+
+
+def test_two_passes_whatever_the_benchmark(spark, monkeypatch):
+    """One pass counts, one probes, for one item as for thousands."""
+    from quarry.llm import decontaminate
+
+    calls = []
+    for name in ("_frequencies", "_probed"):
+        monkeypatch.setattr(decontaminate, name, lambda *a, _f=getattr(decontaminate, name), _n=name: (calls.append(_n), _f(*a))[1])
+    rng = random.Random(16)
+    items = [(i, fresh(rng, 40)) for i in range(2000)]
+    docs = [(i, f"{fresh(rng, 30)} {items[7 * i][1] if i % 2 else ''} {fresh(rng, 20)}") for i in range(40)]
+    for some in (items[:1], items):
+        calls.clear()
+        found = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string"))
+        got = {r.id: (r["items"], decontaminate.covered([tuple(s) for s in r.spans])) for r in found.collect()}
+        assert sorted(calls) == ["_frequencies", "_probed"]
+    assert got == {i: (([str(7 * i)], 40) if i % 2 else ([], 0)) for i in range(40)}
+
+
+def test_filter_lets_its_shingles_through(spark):
+    import numpy as np
+
+    from quarry.llm import decontaminate
+
+    rng = np.random.default_rng(1)
+    own, other = rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 64, 50_000, np.uint64)
+    f = decontaminate._filter(spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "shingle long"))
+    assert len(f.places(own)) == len(own) and len(f.places(other)) < 0.05 * len(other)
