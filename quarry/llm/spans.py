@@ -24,7 +24,7 @@ LONGEST = 16
 NEAR = 4
 #: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 20
-#: Twice the sentences of a run, and one, are less; a run is no longer than its least sentences or words.
+#: The sentences of a run are less; it is no longer than its least sentences or words.
 PLACE = 1 << 20
 #: Bytes of text whose word hashes are computed together; a longer word counts whole.
 CHUNK = 1 << 18
@@ -200,24 +200,38 @@ def mark_of(text: bytes) -> int:
 
 
 def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """hash, key, place, tag: one row for each run of each row(key, text).
+    """hash, key, place, tag: one row for each different run of each row(key, text), where the text has it first.
 
-    place holds the first sentence, the number of sentences and whether the text has had the run before, in one number;
-    tag holds 31 bits of the run's other hash and the text's mark. So 95 bits tell runs apart.
+    place holds the first sentence and the number of sentences, in one number; tag holds 31 bits of the run's other hash
+    and the text's mark. So 95 bits tell runs apart. A text that repeats runs of its own has one more row, without a hash:
+    `own` holds the sentences that the later occurrences cover, which go whatever other texts have.
     """
+    names = ["hash", "key", "place", "tag", "own"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, done = batch.column(0).to_numpy(zero_copy_only=False), 0
             for texts in together(text.as_py() or b"" for text in batch.column(1)):
-                own, first, length, one, two, seen = runs(split(texts), least_sentences, least_words)
+                owner, first, length, one, two, seen = runs(split(texts), least_sentences, least_words)
                 mark = np.array([mark_of(t) for t in texts])
-                tag = (two >> np.uint64(33)).astype(np.int64) * (1 << 31) + mark[own]
-                columns = one.view(np.int64), keys[done + own], first * PLACE + 2 * length + seen, tag
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "key", "place", "tag"])
+                tag = (two >> np.uint64(33)).astype(np.int64) * (1 << 31) + mark[owner]
+                new = ~seen
+                columns = one.view(np.int64), keys[done + owner], first * PLACE + length, tag
+                none = pa.nulls(int(new.sum()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[new], pa.int64()) for c in columns), none], names)
+                yield again(owner[seen], first[seen], length[seen], keys[done:], mark)
                 done += len(texts)
 
-    return rows.mapInArrow(go, "hash long, key long, place long, tag long")
+    def again(owner: np.ndarray, first: np.ndarray, length: np.ndarray, keys: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        """Rows of the texts that repeat their own runs, with the sentences that these cover."""
+        at = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        covered = np.unique(np.stack([np.repeat(owner, length), at]), axis=1)
+        which, start = np.unique(covered[0], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, covered.shape[1]), pa.int32()), pa.array(covered[1], pa.int64()))
+        none = pa.nulls(len(which), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(keys[which], pa.int64()), none, pa.array(mark[which], pa.int64()), lists], names)
+
+    return rows.mapInArrow(go, "hash long, key long, place long, tag long, own array<long>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
@@ -225,21 +239,25 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     mark tells texts under one id apart; rows with the same id and text are one document. Documents without any are left
     out. Of a run's occurrences the first is that of the smallest id, of several texts under it that of the least mark, and
-    of that the first in its text; all others lose the run's sentences. Runs are counted map-side before they are dealt by
-    hash, so a passage in a third of the rows gives one row a task; only occurrences of runs whose 64 bits repeat are
-    joined, where Spark splits a hot one, and 31 more bits decide. Null ids and texts take no part.
+    of that the first in its text; all others lose the run's sentences. What a text repeats of itself is settled where it is
+    read. Runs are counted map-side before they are dealt by hash, so a passage in a third of the rows gives one row a
+    task; only occurrences of runs whose 64 bits repeat are joined, where Spark splits a hot one, and 31 more bits decide.
+    Null ids and texts take no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text")).filter("key IS NOT NULL")
     found = materialize(_occurrences(rows, least_sentences, least_words), "runs")
-    often = found.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
-    check, mark = F.expr("tag div 2147483648").cast("int"), F.expr("cast(pmod(tag, 2147483648L) as int)")
-    same = materialize(found.join(often.hint("shuffle_hash"), "hash").select("hash", check.alias("check"), "key", mark.alias("mark"), "place"), "repeated")
+    check, mark = F.expr("tag div 2147483648").cast("int").alias("check"), F.expr("cast(pmod(tag, 2147483648L) as int)").alias("mark")
+    different = found.filter("hash IS NOT NULL").select("hash", "key", "place", "tag")
+    often = materialize(different.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"), "often")
+    same = materialize(different.join(often.hint("shuffle_hash"), "hash").select("hash", check, "key", mark, "place"), "repeated")
     first = F.min(F.struct("key", "mark")).alias("first")
-    homes = same.groupBy("hash", "check").agg(F.count("*").alias("times"), first).filter("times > 1").select("hash", "check", "first")
-    later = same.join(homes.hint("shuffle_hash"), ["hash", "check"]).filter((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark")) | (F.col("place") % 2 == 1))
-    by_text = later.groupBy(F.col("key").alias("id"), "mark").agg(F.collect_list("place").alias("places"), F.min("first.key").alias("first_id"))
-    sentences = F.expr(f"array_sort(array_distinct(flatten(transform(places, p -> sequence(p div {PLACE}, p div {PLACE} + (p % {PLACE}) div 2 - 1)))))")
-    return by_text.select("id", "mark", sentences.alias("sentences"), "first_id")
+    homes = materialize(same.groupBy("hash", "check").agg(F.count("*").alias("times"), first).filter("times > 1").select("hash", "check", "first"), "homes")
+    later = same.join(homes.hint("shuffle_hash"), ["hash", "check"]).filter((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark")))
+    own = found.filter("hash IS NULL").select("key", mark, F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("home"), "own")
+    every = later.select("key", "mark", "place", F.col("first.key").alias("home"), F.lit(None).cast("array<long>").alias("own")).unionByName(own)
+    by_text = every.groupBy(F.col("key").alias("id"), "mark").agg(F.collect_list("place").alias("places"), F.min("home").alias("home"), F.flatten(F.collect_list("own")).alias("own"))
+    spread = F.expr(f"flatten(transform(places, p -> sequence(p div {PLACE}, p div {PLACE} + p % {PLACE} - 1)))")
+    return by_text.select("id", "mark", F.array_sort(F.array_distinct(F.concat(spread, "own"))).alias("sentences"), F.coalesce("home", "id").alias("first_id"))
 
 
 def remove(text: bytes, positions: list[int], spans: list[tuple[int, int]] | None = None) -> bytes:
