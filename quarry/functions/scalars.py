@@ -72,9 +72,14 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+#: Marks at the end of a frame's name for kernel, waker, inlined and compiled code.
+FRAME_MARKS = ("_[k]", "_[w]", "_[i]", "_[j]")
+
+
 def strip_annotation(name: Column) -> Column:
-    """A frame name without its kernel, waker, inline or compiled mark."""
-    return F.regexp_replace(name, r"_\[[kwij]\]$", "")
+    """A frame name without its mark."""
+    marked = F.right(name, F.lit(4)).isin(*FRAME_MARKS)
+    return F.when(marked, F.left(name, F.length(name) - 4)).otherwise(name)
 
 
 def admission_ratio(err: Column, err_sum: Column, kp: float = 0.1, ki: float = 1.4) -> Column:

@@ -10,6 +10,9 @@ from quarry.operators.ordered import last_known
 
 #: Lines of a dump that one task looks back over.
 CHUNK = 100_000
+#: What the headers of a profile dump's sections hold, and how the mapping of a location begins.
+SECTIONS = {"sample": "Samples:", "location": "Locations", "mapping": "Mappings"}
+MAPPING = "M="
 
 
 def measurements(spark: SparkSession, path: str, sep: str = ";", kind: str = "decimal(18,2)") -> DataFrame:
@@ -60,14 +63,14 @@ def profile(lines: DataFrame, order: str = "pos", line: str = "value", by: str |
     """
     keys = [by] if by else []
     text = F.trim(F.col(line))
-    header = F.when(text.contains("Samples:"), "sample").when(text.contains("Locations"), "location").when(text.contains("Mappings"), "mapping")
+    header = F.coalesce(*[F.when(text.contains(mark), name) for name, mark in SECTIONS.items()])
     rows = lines.filter(~F.col(line).startswith("#")).withColumns({"header": header, "_chunk": F.expr(f"`{order}` div {CHUNK}")})
     rows = last_known(rows, keys, "_chunk", [order], "header", "section")
     label, rest = F.trim(F.substring_index(text, ":", 1)), F.trim(F.expr(f"substring(trim(`{line}`), locate(':', trim(`{line}`)) + 1)"))
     body = rows.filter("header IS NULL").filter(text.contains(":")).withColumns({"_label": F.filter(F.split(label, " "), lambda x: x != ""), "_rest": F.filter(F.split(rest, " "), lambda x: x != "")})
     count = F.element_at("_label", 1).try_cast("bigint")
     samples = body.filter((F.col("section") == "sample") & (F.size("_rest") > 0)).select(*keys, F.col("_rest").alias("loc_ids"), count.alias("n")).filter("n IS NOT NULL")
-    mapped = F.element_at("_rest", 2).startswith("M=") & (F.size("_rest") > 2)
+    mapped = F.element_at("_rest", 2).startswith(MAPPING) & (F.size("_rest") > 2)
     name = F.when(mapped, F.try_element_at("_rest", F.lit(3))).otherwise(F.try_element_at("_rest", F.lit(2)))
     names = body.filter((F.col("section") == "location") & (F.size("_rest") > 1)).select(*keys, F.element_at("_label", 1).alias("id"), name.alias("name"))
     return samples, names
