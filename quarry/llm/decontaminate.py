@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.words import bounds, hashes, places, together
 from quarry.session import materialize
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space. Bytes over 127 stay.
@@ -20,37 +20,50 @@ FOLD = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else b + 32 if
 LEAST_BITS, MOST_BITS = 16, 28
 #: Rows of prefixes, and texts with hits, up to which the table is broadcast; beyond, Spark joins by a shuffle and splits hot keys.
 BROADCAST_PREFIXES, BROADCAST_HITS = 200_000, 1_000_000
-#: Words whose hash is remembered, texts that a task knows to have probed, and shingles that it counts before it emits.
+#: Texts that a task knows to have probed; five times as many shingles are held before their counts are given out.
 REMEMBERED = 200_000
+_BLANK = np.arange(256) == 32
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text: runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased; null has none."""
-    return (text or b"").translate(FOLD).split()
-
+@dataclass(frozen=True)
+class Words:
+    """The words of some UTF-8 texts, numbered through all of them.
 
-class Hashes(dict):
-    """64-bit hash of a word, remembered."""
+    Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased; an empty text has none.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+    folded: bytes
+    begins: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray  #: first word of each text, and the number of words
+    owner: np.ndarray  #: text of each word
+
+    def shingles(self, size: int) -> np.ndarray:
+        """A hash for the shingle of so many words at each position where there is one, also across texts."""
+        n = max(0, len(self.hashes) - size + 1)
+        h = np.full(n, size, np.uint64)
+        for k in range(size):
+            h = (h ^ self.hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Hashes of a text's words."""
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def inside(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Those positions whose shingle lies in one text."""
+        return at[self.owner[at] == self.owner[at + size - 1]]
 
+    def text(self, lo: int, hi: int) -> bytes:
+        """The words from one to another, with single spaces."""
+        return b" ".join(self.folded[self.begins[lo] : self.ends[hi - 1]].split())
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash for the shingle of so many words at each position, from the words' hashes."""
-    n = max(0, len(words) - size + 1)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h
+
+def words_in(texts: list[bytes]) -> Words:
+    """Words of texts, all as arrays."""
+    folded = b" ".join(texts).translate(FOLD)
+    raw = np.frombuffer(folded, np.uint8)
+    begins, ends = places(_BLANK[raw])
+    first = bounds(texts, begins)
+    return Words(folded, begins, ends, hashes(raw, begins, ends).view(np.uint64), first, np.repeat(np.arange(len(texts)), np.diff(first)))
 
 
 @dataclass(frozen=True)
@@ -60,7 +73,7 @@ class Filter:
     bits: int
     table: np.ndarray
 
-    def places(self, h: np.ndarray) -> np.ndarray:
+    def passes(self, h: np.ndarray) -> np.ndarray:
         """Positions of those hashes that may be in the filter."""
         at, mask, six = np.arange(len(h)), np.uint64((1 << self.bits) - 1), np.uint64(6)
         for shift in (0, 32):
@@ -89,18 +102,18 @@ def windows_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, sh
     kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
-                if not words:
+                found = words_in([text.as_py() or b""])
+                n = len(found.hashes)
+                if not n:
                     continue
-                size = min(window, len(words))
+                size = min(window, n)
                 part = min(shingle, size)
-                h = shingles(hashes.of(words), part).view(np.int64)
+                h = found.shingles(part).view(np.int64)
                 seen, rows = set(), ([], [], [], [])
-                for i in range(len(words) - size + 1):
-                    run = b" ".join(words[i : i + size])
+                for i in range(n - size + 1):
+                    run = found.text(i, i + size)
                     if run not in seen:
                         seen.add(run)
                         for column, value in zip(rows, (item, run.decode("utf-8", "replace"), size, h[i : i + size - part + 1].tolist())):
@@ -115,13 +128,14 @@ def _frequencies(rows: DataFrame, wanted: Broadcast, sizes: list[int]) -> DataFr
     """shingle, n: in how many rows(text) the shingles that the filter lets through occur; counted in tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found, held = Hashes(), [], 0
+        found, held = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                words = hashes.of(words_of(text.as_py()))
+            for texts in together(text.as_py() or b"" for text in batch.column(0)):
+                words = words_in(texts)
                 for size in sizes:
-                    h = shingles(words, size)
-                    found.append(np.unique(h[wanted.value.places(h)]))
+                    h = words.shingles(size)
+                    at = words.inside(wanted.value.passes(h), size)
+                    found.append(np.unique(np.stack([words.owner[at].astype(np.uint64), h[at]]), axis=1)[1])
                     held += len(found[-1])
                 if held > 5 * REMEMBERED:
                     yield out(found)
@@ -158,27 +172,30 @@ def _probed(rows: DataFrame, wanted: Broadcast, sizes: list[int], window: int) -
     kinds = [pa.int64()] * 7 + [pa.string()]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            columns = [[] for _ in names]
-            for i, a, b, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                words = words_of(text.as_py())
-                n = len(words)
-                found = [(i, a, b, n, None, None, None, None)]
-                if (a, b) not in seen:
+            keys, done = list(zip(*(c.to_pylist() for c in batch.columns[:3]))), 0
+            for texts in together(text.as_py() or b"" for text in batch.column(3)):
+                words = words_in(texts)
+                own = keys[done : done + len(texts)]
+                done += len(texts)
+                found = [(*key, n, None, None, None, None) for key, n in zip(own, np.diff(words.first).tolist())]
+                new = []
+                for _, a, b in own:
+                    new.append((a, b) not in seen)
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add((a, b))
-                    hashed = hashes.of(words)
-                    for size in sizes:
-                        h = shingles(hashed, size)
-                        at = wanted.value.places(h)
-                        for k, shingle in zip(at.tolist(), h[at].view(np.int64).tolist()):
-                            lo = max(0, k - window + size)
-                            found.append((None, a, b, n, k, shingle, lo, b" ".join(words[lo : k + window]).decode("utf-8", "replace")))
-                for column, values in zip(columns, zip(*found)):
-                    column += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                for size in sizes:
+                    h = words.shingles(size)
+                    for k in words.inside(wanted.value.passes(h), size).tolist():
+                        which = int(words.owner[k])
+                        if new[which]:
+                            begin, end = int(words.first[which]), int(words.first[which + 1])
+                            lo = max(begin, k - window + size)
+                            around = words.text(lo, min(end, k + window)).decode("utf-8", "replace")
+                            found.append((None, *own[which][1:], end - begin, k - begin, int(h[k].view(np.int64)), lo - begin, around))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*found)), kinds)], names)
 
     return rows.select("id", "a", "b", "text").mapInArrow(probe, "id long, a long, b long, n_words long, at long, shingle long, first long, around string")
 
@@ -229,7 +246,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
     hits = hits.join(owners, "run")
     found = materialize(hits.groupBy("a", "b").agg(spans, F.array_sort(F.collect_set("item")).alias("items")), "found").select(F.col("a").alias("x"), F.col("b").alias("y"), "spans", "items")
-    found = F.broadcast(found) if found.count() <= BROADCAST_HITS // 10 else found
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS // 50 else found  # rows with lists
     joined = rows.join(found, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
     none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
     return joined.select("id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.simhash import LOWER
+from quarry.llm.words import BYTE_FACTOR, Powers, bounds, hashes, places, together
 from quarry.session import materialize
 
 #: A sentence ends after . ! or ? before white space or the end, and at a line end: flags of the bytes that make an end, that may follow, and that part words.
@@ -26,59 +27,14 @@ NEAR = 4
 SENTENCES, WORDS = 2, 20
 #: The sentences of a run are less; it is no longer than its least sentences or words.
 PLACE = 1 << 20
-#: Bytes of text whose word hashes are computed together; a longer word counts whole.
-CHUNK = 1 << 18
-#: Factors of the polynomials over bytes and over words, and what mixes their values; any odd numbers would do.
-BYTE_FACTOR, BYTE_MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Factors of the polynomials over words, and what mixes their values; any odd numbers would do.
 _FACTORS = (0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)
 _MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-class Powers:
-    """Powers of an odd factor and of its inverse modulo 2^64, as far as texts have needed them."""
-
-    def __init__(self, factor: int) -> None:
-        self.steps = (factor, pow(factor, -1, 1 << 64))
-        self.tables = [np.ones(1, np.uint64) for _ in self.steps]
-
-    def upto(self, n: int) -> list[np.ndarray]:
-        """Both tables with n entries at least."""
-        if len(self.tables[0]) < n:
-            size = 1 << (n - 1).bit_length()
-            self.tables = [np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, step, np.uint64))) for step in self.steps]
-        return self.tables
-
-    def sums(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Polynomials of the values from each lo to hi: differences of a running one, shifted to its start."""
-        up, down = self.upto(len(values) + 1)
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=total[1:])
-        return (total[hi] - total[lo]) * down[lo]
-
-
-_BYTES = Powers(BYTE_FACTOR)
 _POWERS = [Powers(x) for x in _FACTORS]
 
 
-def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text's bytes begin and end."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).view(np.int8)))
-    return edges[::2], edges[1::2]
-
-
-def word_ranks(lower: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """63 bits for each word, from its bytes alone, so the words alone decide where a long sentence is cut."""
-    out, k = [np.zeros(0, np.uint64)], 0
-    while k < len(begins):
-        stop = max(k + 1, int(np.searchsorted(ends, begins[k] + CHUNK)))
-        at = begins[k]
-        out.append(_BYTES.sums(lower[at : ends[stop - 1]].astype(np.uint64), begins[k:stop] - at, ends[k:stop] - at))
-        k = stop
-    h = np.concatenate(out)
-    h ^= h >> np.uint64(31)
-    return (h * np.uint64(BYTE_MIXER) >> np.uint64(1)).view(np.int64)
-
-
 def cuts(ranks: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     """Positions of words, given with their sentences, before which these are cut: a rank that none of the NEAR before and after is below.
 
@@ -110,31 +66,18 @@ def split(texts: list[bytes]) -> Split:
     """
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined, np.uint8)
-    begins, stops = word_places(raw)
-    rank = word_ranks(np.frombuffer(joined.translate(LOWER), np.uint8), begins, stops)
-    bounds = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    begins, stops = places(_BLANK[raw])
+    rank = hashes(np.frombuffer(joined.translate(LOWER), np.uint8), begins, stops)
+    first = bounds(texts, begins)
     if not len(begins):
-        return Split(rank, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.diff(bounds))
+        return Split(rank, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.diff(first))
     number = np.searchsorted(_ends(raw), begins, side="right")  # of the sentence that a word is in, blank ones counted
     starts = np.append(0, np.flatnonzero(number[1:] != number[:-1]) + 1)
     size = np.diff(starts, append=len(begins))
     if size.max() > LONGEST:
         inside = np.flatnonzero(np.repeat(size > LONGEST, size))
         starts = np.union1d(starts, inside[cuts(rank[inside], number[inside])])
-    return Split(rank, starts, np.searchsorted(starts, bounds), np.diff(bounds))
-
-
-def together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
-    """Texts in lists of about CHUNK bytes; a longer one is by itself."""
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text) > CHUNK:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
+    return Split(rank, starts, np.searchsorted(starts, first), np.diff(first))
 
 
 def _ends(raw: np.ndarray) -> np.ndarray:
@@ -149,16 +92,16 @@ def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
     A sentence that isn't cut reaches from the end of the one before to its own; one that is, from word to word.
     """
     words, starts = text.translate(LOWER).split(), split([text]).starts
-    begins = word_places(np.frombuffer(text, np.uint8))[0].tolist()
+    begins = places(_BLANK[np.frombuffer(text, np.uint8)])[0].tolist()
     ends = [0, *_ends(np.frombuffer(text, np.uint8)).tolist(), len(text)]
-    bounds, spans = [*starts.tolist(), len(words)], []
-    for lo, hi in zip(bounds, bounds[1:]):
+    edges, spans = [*starts.tolist(), len(words)], []
+    for lo, hi in zip(edges, edges[1:]):
         k = bisect_right(ends, begins[lo])  # the end before the first word, and the one after the last
         whole = lo == 0 or ends[k - 1] > begins[lo - 1]
         last = bisect_right(ends, begins[hi - 1])
         own = hi == len(words) or ends[last] <= begins[hi]
         spans.append((ends[k - 1] if whole else begins[lo], ends[last] if own else begins[hi]))
-    return spans, [words[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+    return spans, [words[lo:hi] for lo, hi in zip(edges, edges[1:])]
 
 
 def run_hashes(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:

@@ -1,6 +1,6 @@
 """DuckDB SQL with the results of the registered queries."""
 
-from quarry.llm import host_rules, licenses, sharding, spans
+from quarry.llm import host_rules, licenses, sharding, spans, words
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD3 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -164,8 +164,8 @@ every_word AS (SELECT r, line, piece, len(w) AS n, unnest(w) AS word, unnest(ran
 vocabulary AS (SELECT DISTINCT word, hex(encode(word)) AS hexed FROM every_word),
 polynomials AS (
   SELECT word, list_reduce(list_prepend(0::UHUGEINT, list_reverse(list_transform(range(length(hexed) // 2), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::INTEGER::UHUGEINT))),
-    lambda h, b: (h * {spans.BYTE_FACTOR}::UHUGEINT + b) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM vocabulary),
-digests AS (SELECT word, ((xor(h, h >> 31)::UHUGEINT * {spans.BYTE_MIXER}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT >> 1 AS digest FROM polynomials),
+    lambda h, b: (h * {words.BYTE_FACTOR}::UHUGEINT + b) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM vocabulary),
+digests AS (SELECT word, ((xor(h, h >> 31)::UHUGEINT * {words.BYTE_MIXER}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT >> 1 AS digest FROM polynomials),
 ranked_words AS (
   SELECT e.*, digest,
     min(digest) OVER (PARTITION BY r, line, piece ORDER BY nth ROWS BETWEEN {spans.NEAR} PRECEDING AND 1 PRECEDING) AS ahead,

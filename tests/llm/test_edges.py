@@ -339,4 +339,4 @@ def test_filter_lets_its_shingles_through(spark):
     rng = np.random.default_rng(1)
     own, other = rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 64, 50_000, np.uint64)
     f = decontaminate._filter(spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "shingle long"))
-    assert len(f.places(own)) == len(own) and len(f.places(other)) < 0.05 * len(other)
+    assert len(f.passes(own)) == len(own) and len(f.passes(other)) < 0.05 * len(other)
