@@ -146,14 +146,14 @@ def latency_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text formats
 
 
-@query(f"WITH {_FOLDED} SELECT array_to_string(frames, ';') AS stack, CAST(n AS DOUBLE) AS n1, CAST(n * 2 AS DOUBLE) AS n2, FALSE AS ignored FROM folded UNION ALL SELECT NULL, NULL, NULL, TRUE")
+@query(f"WITH {_FOLDED} SELECT array_to_string(frames, ';') AS stack, CAST(n AS DOUBLE) AS n1, CAST(n * 2 AS DOUBLE) AS n2, FALSE AS ignored FROM folded UNION ALL SELECT '', NULL, NULL, TRUE")
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded stacks with two counts, written as lines and read back; a line without a count is marked."""
     folded = catalog._folded(spark, sf_dir)
     lines = folded.select(F.concat_ws(" ", F.array_join("frames", ";"), F.col("n").cast("string"), F.concat(F.col("n") * 2, F.lit(".0"))).alias("value"))
     path = scratch_path(spark, "folded")
     lines.unionByName(spark.createDataFrame([("a line without a count",)], "value string")).write.text(path)
-    return text.folded(spark, path).select(F.array_join("frames", ";").alias("stack"), "n1", "n2", "ignored")
+    return text.folded(spark, path).select(F.coalesce(F.array_join("frames", ";"), F.lit("")).alias("stack"), "n1", "n2", "ignored")
 
 
 def profile_lines(folded: DataFrame) -> DataFrame:
