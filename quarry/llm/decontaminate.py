@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import bounds, hashes, places, together
+from quarry.llm.words import bounds, hashes, map_batches, places, together
 from quarry.session import materialize
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space. Bytes over 127 stay.
@@ -121,7 +121,7 @@ def windows_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, sh
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["item", "run", "n", "shingles"])
 
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    return items.mapInArrow(cut, "item string, run string, n long, shingles array<long>")
+    return map_batches(items, cut, "item string, run string, n long, shingles array<long>")
 
 
 def _frequencies(rows: DataFrame, wanted: Broadcast, sizes: list[int]) -> DataFrame:
@@ -146,7 +146,7 @@ def _frequencies(rows: DataFrame, wanted: Broadcast, sizes: list[int]) -> DataFr
         h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    return rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("text"), count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def prefixes(runs: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _probed(rows: DataFrame, wanted: Broadcast, sizes: list[int], window: int) -
                             found.append((None, *own[which][1:], end - begin, k - begin, int(h[k].view(np.int64)), lo - begin, around))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*found)), kinds)], names)
 
-    return rows.select("id", "a", "b", "text").mapInArrow(probe, "id long, a long, b long, n_words long, at long, shingle long, first long, around string")
+    return map_batches(rows.select("id", "a", "b", "text"), probe, "id long, a long, b long, n_words long, at long, shingle long, first long, around string")
 
 
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:

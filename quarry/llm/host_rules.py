@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.words import map_batches
 from quarry.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -68,7 +69,7 @@ def document_metrics(docs: DataFrame, host: Column, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["id", "host", *METRICS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, host string, " + ", ".join(f"{m} long" for m in METRICS))
+    return map_batches(rows, run, "id long, host string, " + ", ".join(f"{m} long" for m in METRICS))
 
 
 def host_rates(measured: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.gru import BiGRU
+from quarry.llm.words import map_batches
 from quarry.session import materialize
 
 UNKNOWN = "und"
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
                     found.append(windows(line, windows_per_doc, h).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["lang", "h", "windows"])
 
-    drawn = likely.select("lang", "h", "text").mapInArrow(draw, "lang string, h long, windows binary")
+    drawn = map_batches(likely.select("lang", "h", "text"), draw, "lang string, h long, windows binary")
     once = drawn.groupBy("lang", "h").agg(F.first("windows").alias("windows"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = once.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("lang", "h", "windows")
@@ -162,4 +163,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang string, score double")
+    return map_batches(rows, run, "id long, lang string, score double")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.words import map_batches
+
 #: Lower-cases A-Z; any byte that is no ASCII letter or digit becomes a space.
 FOLD = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -277,6 +279,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recogn
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, ids), pa.array(licences, matches)], ["id", "n_sentences", "identifiers", "matches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
+    return map_batches(rows, 
         run, "id long, n_sentences long, identifiers array<struct<position:long,name:string>>, matches array<struct<licence:string,first:long,last:long>>"
     )

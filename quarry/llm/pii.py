@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.words import map_batches
+
 #: Kinds in the order in which spans with equal starts are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "url", "ssn", "secret")
 RANK = {kind: i for i, kind in enumerate(KINDS)}
@@ -200,7 +202,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, spans array<struct<start:long,end:long,kind:string>>")
+    return map_batches(rows, run, "id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def redact(text: str, spans: list[Span]) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
+from quarry.llm.words import map_batches
 from quarry.session import materialize
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return ids.mapInArrow(run, "id long, fp long")
+    return map_batches(ids, run, "id long, fp long")
 
 
 def bit_counts(fps: np.ndarray, segments: int = 32) -> np.ndarray:
@@ -193,8 +194,8 @@ def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups:
         u, v = forest(np.concatenate(left), np.concatenate(right))
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    cells = points.select("fp").mapInArrow(place, "cell long, fp long")
-    met = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "u long, v long, link boolean"), "links")
+    cells = map_batches(points.select("fp"), place, "cell long, fp long")
+    met = materialize(map_batches(cells.repartition("cell").sortWithinPartitions("cell"), meet, "u long, v long, link boolean"), "links")
     found, large = met.filter("link").select("u", "v"), met.filter("NOT link").select(F.col("u").alias("hot"), F.ceil(F.col("v") / CELL).alias("parts"))
     n = large.count()
     if not n:
@@ -202,7 +203,7 @@ def links(points: DataFrame, max_distance: int = 3, segments: int = 32, groups:
     hot = cells.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, F.col("cell") == F.col("hot"))
     sides = hot.withColumn("side", F.expr("pmod(xxhash64(fp), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     blocks = sides.select("cell", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
-    return found.unionByName(blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(across, "u long, v long"))
+    return found.unionByName(map_batches(blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b"), across, "u long, v long"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 3) -> DataFrame:
@@ -282,7 +283,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             fps = pa.array([fingerprint(x.as_py(), words) for x in batch.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps], [*KEY, "fp"])
 
-    rows = materialize(keyed.mapInArrow(run, "_q_id long, _q_a long, _q_b long, fp long"), "fingerprints")
+    rows = materialize(map_batches(keyed, run, "_q_id long, _q_a long, _q_b long, fp long"), "fingerprints")
     points = materialize(rows.select("fp").distinct(), "points")
     roots = connected_components(links(points, max_distance)).withColumnRenamed("node", "fp")
     return keep_least(docs, marked, rows, roots)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.simhash import LOWER
-from quarry.llm.words import BYTE_FACTOR, Powers, bounds, hashes, places, together
+from quarry.llm.words import BYTE_FACTOR, Powers, bounds, hashes, map_batches, places, together
 from quarry.session import materialize
 
 #: A sentence ends after . ! or ? before white space or the end, and at a line end: flags of the bytes that make an end, that may follow, and that part words.
@@ -174,7 +174,7 @@ def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> Dat
         none = pa.nulls(len(which), pa.int64())
         return pa.RecordBatch.from_arrays([none, pa.array(keys[which], pa.int64()), none, pa.array(mark[which], pa.int64()), lists], names)
 
-    return rows.mapInArrow(go, "hash long, key long, place long, tag long, own array<long>")
+    return map_batches(rows, go, "hash long, key long, place long, tag long, own array<long>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
@@ -252,4 +252,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             yield pa.RecordBatch.from_arrays([arrays[0], arrays[1].cast(pa.string()), *arrays[2:]], names)
 
     names = ["id", "text", "n_sentences", "n_removed", "n_words", "n_kept_words", "words_sha256", "first_id"]
-    return joined.mapInArrow(go, "id long, text string, n_sentences long, n_removed long, n_words long, n_kept_words long, words_sha256 string, first_id long")
+    return map_batches(joined, go, "id long, text string, n_sentences long, n_removed long, n_words long, n_kept_words long, words_sha256 string, first_id long")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import boosting
+from quarry.llm.words import map_batches
 from quarry.session import materialize
 
 #: Words that insult, threaten or demean, in the languages that the operator starts out with.
@@ -153,7 +154,7 @@ def _term_counts(once: DataFrame) -> DataFrame:
                     seen.clear()
         yield out()
 
-    found = once.select("text", "toxic", "fold").mapInArrow(count, "term string, cell int, n long")
+    found = map_batches(once.select("text", "toxic", "fold"), count, "term string, cell int, n long")
     each = [F.sum(F.when(F.col("cell") == 2 * k + toxic, F.col("n")).otherwise(0)).alias(f"{'ct'[toxic]}{k}") for k in range(FOLDS) for toxic in (0, 1)]
     return materialize(found.groupBy("term").agg(*each), "terms")
 
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
             rows = [features(x.as_py(), classes[k]) for x, k in zip(batch.column(0), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "fold", "x"])
 
-    rows = sample.select("text", "toxic", "h", "fold").mapInArrow(measure, "toxic int, h long, fold int, x array<double>").toPandas().sort_values(["h", "toxic"])
+    rows = map_batches(sample.select("text", "toxic", "h", "fold"), measure, "toxic int, h long, fold int, x array<double>").toPandas().sort_values(["h", "toxic"])
     x, y, fold = np.array(rows.x.tolist()), rows.toxic.to_numpy(float), rows.fold.to_numpy()
     weight = np.where(y == 1, every[1] / had[1], every[0] / had[0])
     weight /= weight.mean()
@@ -242,7 +243,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= model.threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int")
+    return map_batches(rows, run, "id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -257,4 +258,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(model.scores([x.as_py() for x in batch.column(at)], classes) < model.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on together; a longer text, or word, counts whole.
 CHUNK = 1 << 18
@@ -12,6 +15,34 @@ CHUNK = 1 << 18
 BYTE_FACTOR, BYTE_MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+#: Rows and bytes that reach a Python worker at a time at most, so that long texts don't come by the ten thousand.
+BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
+
+
+def map_batches(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in small batches; a task gives the memory that it no longer needs back to the system, as workers outlive it."""
+    conf = rows.sparkSession.conf
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def _trim() -> None:
+    """Hands freed memory back where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class Powers:
     """Powers of an odd factor and of its inverse modulo 2^64, as far as texts have needed them."""
 
