@@ -135,7 +135,8 @@ def _frequencies(rows: DataFrame, wanted: Broadcast, sizes: list[int]) -> DataFr
                 for size in sizes:
                     h = words.shingles(size)
                     at = words.inside(wanted.value.passes(h), size)
-                    found.append(np.unique(np.stack([words.owner[at].astype(np.uint64), h[at]]), axis=1)[1])
+                    own = h[at] ^ words.owner[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # a shingle counts once a text
+                    found.append(h[at[np.unique(own, return_index=True)[1]]])
                     held += len(found[-1])
                 if held > 5 * REMEMBERED:
                     yield out(found)

@@ -168,9 +168,9 @@ def _occurrences(rows: DataFrame, least_sentences: int, least_words: int) -> Dat
     def again(owner: np.ndarray, first: np.ndarray, length: np.ndarray, keys: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
         """Rows of the texts that repeat their own runs, with the sentences that these cover."""
         at = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        covered = np.unique(np.stack([np.repeat(owner, length), at]), axis=1)
-        which, start = np.unique(covered[0], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(start, covered.shape[1]), pa.int32()), pa.array(covered[1], pa.int64()))
+        covered = np.unique(np.repeat(owner, length) << 40 | at)  # text and sentence in one number
+        which, start = np.unique(covered >> 40, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(covered)), pa.int32()), pa.array(covered & (1 << 40) - 1, pa.int64()))
         none = pa.nulls(len(which), pa.int64())
         return pa.RecordBatch.from_arrays([none, pa.array(keys[which], pa.int64()), none, pa.array(mark[which], pa.int64()), lists], names)
 
