@@ -252,6 +252,7 @@ def keep_least(docs: DataFrame, marked: DataFrame, rows: DataFrame, roots: DataF
     placed = keys.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_fp = rows.groupBy("fp").agg(best)
     kept = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = materialize(kept, "best")  # so that the join below deals out both sides, and a large group can be split
     same = [F.col(f"best.{k}").eqNullSafe(F.col(k)) for k in KEY]
     told = materialize(placed.join(kept, "root").select(*KEY, "_q_n", (same[0] & same[1] & same[2]).alias("stays")), "kept")
 
