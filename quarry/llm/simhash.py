@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,6 +23,9 @@ BITS = 64
 CHUNK = 1 << 16
 #: Points of a grid cell that one task compares with one another; larger cells are split.
 CELL = 1 << 13
+#: Wide fingerprints: blocks of 64 bits, bands of cells by three blocks each, words of which the distance is taken, hashes
+#: drawn out at a time, and points of a cell of which all pairs are measured.
+BLOCKS, BANDS, POINT, STEP, CROWD = 192, 128, 3, 512, 512
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -60,6 +64,121 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(ids, run, "id long, fp long")
 
 
+def _set_bits(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows of words have each bit set; rows are added three at a time, as sums and carries."""
+    planes = []
+    while len(rows):
+        carries = []
+        while len(rows) > 1:
+            third = max(1, len(rows) // 3)
+            a, b, c = (rows[k * third : (k + 1) * third] for k in range(3))
+            either, both = a ^ b, a & b
+            if len(c):  # all but the last two
+                both |= either & c
+                either ^= c
+            carries.append(both)
+            rows = np.concatenate([either, rows[3 * third :]])
+        planes.append(rows[0])
+        rows = np.concatenate(carries) if carries else rows[:0]
+    total = np.zeros(rows.shape[1] * BITS, np.int64)
+    for k, plane in enumerate(planes):
+        total += np.unpackbits(plane.astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << k
+    return total
+
+
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """BLOCKS rows of 64 numbers: for each bit of a wide fingerprint how many hashes set it less how many don't.
+
+    Each 64-bit hash is drawn out to BLOCKS words by the finalizer of SplitMix64. A text's hashes are taken as they come,
+    so for a set of shingles they are to be distinct.
+    """
+    total = np.zeros(BLOCKS * BITS, np.int64)
+    for lo in range(0, len(hashes), STEP):
+        z = hashes[lo : lo + STEP, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, BLOCKS + 1, dtype=np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z ^= z >> np.uint64(shift)
+            z *= np.uint64(factor)
+        z ^= z >> np.uint64(31)
+        total += _set_bits(z)
+    return (2 * total - len(hashes)).reshape(BLOCKS, BITS)
+
+
+def wide_fingerprint(found: np.ndarray) -> list[int]:
+    """The first POINT words of the wide fingerprint, signed: a bit is 1 if over half of the hashes set it."""
+    return np.packbits(found[:POINT] > 0, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def sure_cells(found: np.ndarray) -> np.ndarray:
+    """BANDS cells of a wide fingerprint: each is the place and value of the surest bit of three of its blocks.
+
+    The surest bit is that with the largest margin, the first of equal ones; it is the last that a change of some shingles
+    turns over. Any two bands share one block at most.
+    """
+    sure = np.abs(found).argmax(axis=1)
+    code = 2 * sure + (found[np.arange(BLOCKS), sure] > 0)
+    third, cells = BLOCKS // 3, []
+    at = np.arange(third)
+    for a, b in ((0, 0), (5, 17)):
+        cells.append((code[at] << 14) + (code[third + (at + a) % third] << 7) + code[2 * third + (at + b) % third])
+    return np.concatenate(cells) + (np.arange(BANDS) << 21)
+
+
+def radius(similarity: float) -> int:
+    """The distance of the first POINT words that sets of that Jaccard similarity keep within, by six standard deviations.
+
+    Sets of similarity s have a cosine of 2s / (1 + s) at least, and a bit differs with the chance of their angle over pi.
+    """
+    chance, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, POINT * BITS
+    return min(bits, math.ceil(bits * chance + 6 * math.sqrt(bits * chance * (1 - chance))))
+
+
+def wide_links(placed: DataFrame, max_distance: int) -> DataFrame:
+    """u, v: edges that connect the points of placed(cell, s0, s1, s2) that share a cell and lie within max_distance.
+
+    A point is known by its first word. Only a spanning forest of a task's links leaves it. A cell of over CROWD points
+    is not measured: all its points are connected with the first, so it is read as a stream, and proposes too much at most.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, words, crowded = np.zeros(0, np.int32), np.zeros((0, POINT), np.uint64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.concatenate([cell, batch.column(0).to_numpy(zero_copy_only=False)])
+            more = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).view(np.uint64)
+            words = np.concatenate([words, more])
+            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if whole:
+                yield out(cell[:whole], words[:whole], crowded)
+                cell, words, crowded = cell[whole:], words[whole:], False
+            if len(cell) > CROWD:
+                yield out(cell, words, True)
+                cell, words, crowded = cell[:1], words[:1], True
+        yield out(cell, words, crowded)
+
+    def out(cell: np.ndarray, words: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        """Links of whole cells; crowded: the first goes on from a batch before."""
+        _, first, which, n = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
+        large = n > CROWD
+        large[:1] |= crowded
+        some = large[which]
+        left, right = [words[first[which[some]], 0]], [words[some, 0]]
+        some = ~some & (n[which] > 1)
+        cell, words = cell[some], words[some]
+        at, step = np.arange(len(cell)), 1
+        while len(at := at[at + step < len(cell)]):
+            at = at[cell[at] == cell[at + step]]
+            near = at[np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1) <= max_distance]
+            left.append(words[near, 0])
+            right.append(words[near + step, 0])
+            step += 1
+        u, v = forest(np.concatenate(left), np.concatenate(right))
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    dealt = placed.select("cell", "s0", "s1", "s2").repartition("cell").sortWithinPartitions("cell")
+    return map_batches(dealt, meet, "u long, v long")
+
+
 def bit_counts(fps: np.ndarray, segments: int = 32) -> np.ndarray:
     """The embedding: for each fingerprint the number of set bits in each of its segments of 64 / segments bits."""
     width = BITS // segments

@@ -688,6 +688,68 @@ def test_near_dedup_stage_finds_every_similar_pair(spark, group, monkeypatch):
     assert kept == sorted(least.values()) and kept != sorted(by_bits.values())
 
 
+def test_wide_fingerprints_by_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9, 700):
+        rows = rng.integers(0, 2**64 - 1, (n, 3), np.uint64)
+        want = [[sum(int(w) >> b & 1 for w in column) for b in range(64)] for column in rows.T]
+        assert simhash._set_bits(rows).reshape(3, 64).tolist() == want
+        hashes = rows[:, 0]
+        found = simhash.margins(hashes)
+        assert found.shape == (simhash.BLOCKS, 64) and (abs(found) <= n).all() and ((found - n) % 2 == 0).all()
+        words = simhash.wide_fingerprint(found)
+        assert [[w >> b & 1 for b in range(64)] for w in words] == (found[: simhash.POINT] > 0).astype(int).tolist()
+        cells = simhash.sure_cells(found)
+        assert cells.dtype.itemsize <= 8 and cells.max() < 2**31 and len(set(cells.tolist())) == simhash.BANDS
+
+
+def test_similar_sets_share_cells_and_lie_near():
+    """Sets of a similarity of just 0.8, of several sizes: all share a cell within the radius; others are far."""
+    rng = np.random.default_rng(6)
+    for common, left, right in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (40, 5, 5), (200, 25, 25)):
+        for _ in range(60):
+            hashes = rng.integers(0, 2**64 - 1, common + left + right, np.uint64)
+            a, b = (simhash.margins(x) for x in (hashes[: common + left], np.delete(hashes, range(common, common + left))))
+            apart = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)))
+            assert apart <= simhash.radius(0.8) and (simhash.sure_cells(a) == simhash.sure_cells(b)).any()
+    assert shingles.least_words(0.8) == 4 and shingles.least_words(0.5) == 1 and shingles.least_words(0.81) == 5
+
+
+def test_wide_links_within_cells(spark, monkeypatch):
+    """Pairs of a cell within the distance, over batches of few rows; crowded cells are connected whole."""
+    rng = random.Random(30)
+    monkeypatch.setattr("quarry.llm.words.BATCH_ROWS", 7)
+    rows = []
+    for cell in range(40):
+        centre = [rng.getrandbits(63) for _ in range(3)]
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            rows.append((cell, *(c ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(6))) for c in centre)))
+    rows += [(k, *(rng.getrandbits(63) for _ in range(3))) for k in range(40) for _ in range(3)]
+    df = spark.createDataFrame(rows, "cell int, s0 long, s1 long, s2 long")
+    for crowd in (simhash.CROWD, 6):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        label = {p[1]: p[1] for p in rows}
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if x[0] == y[0] and (sum(x[0] == r[0] for r in rows) > crowd or sum((a ^ b).bit_count() for a, b in zip(x[1:], y[1:])) <= 8):
+                    a, b = sorted((label[x[1]], label[y[1]]))
+                    label = {k: a if v == b else v for k, v in label.items()}
+        got = {r.node: r.root for r in components.connected_components(simhash.wide_links(df, 8)).collect()}
+        sizes = Counter(label.values())
+        assert {k: got.get(k, k) for k in label} == label and set(got) == {k for k, v in label.items() if sizes[v] > 1}
+
+
+def test_near_dedup_stage_proposes_by_simhash(spark, monkeypatch):
+    """Without any distance and any shared cell of the fingerprints no different texts are linked."""
+    import corpus_pipeline
+
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text, "end"])), (3, " ".join(text))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [1]
+    monkeypatch.setattr(shingles, "radius", lambda similarity: -1)
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == [1, 2]
+
+
 def test_near_dedup_of_repeated_ids(spark, odd, none):
     kept = shingles.keep_one(odd)
     assert kept.columns == odd.columns
