@@ -136,7 +136,8 @@ def wide_links(placed: DataFrame, max_distance: int) -> DataFrame:
     """u, v: edges that connect the points of placed(cell, s0, s1, s2) that share a cell and lie within max_distance.
 
     A point is known by its first word. Only a spanning forest of a task's links leaves it. A cell of over CROWD points
-    is not measured: all its points are connected with the first, so it is read as a stream, and proposes too much at most.
+    is not measured: all its points are connected with the least, so it is read as a stream, and proposes too much at most.
+    A group of near copies shares many cells, so what each of its points is linked with is connected to the least of them.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +176,28 @@ def wide_links(placed: DataFrame, max_distance: int) -> DataFrame:
         u, v = forest(np.concatenate(left), np.concatenate(right))
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    dealt = placed.select("cell", "s0", "s1", "s2").repartition("cell").sortWithinPartitions("cell")
-    return map_batches(dealt, meet, "u long, v long")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Connects each point, and the others that it is linked with, to the least of these only."""
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((u, v), batch.columns))
+            whole = int(np.searchsorted(u, u[-1])) if len(u) else 0  # the last point may go on in the next batch
+            if whole:
+                yield least(u[:whole], v[:whole])
+                u, v = u[whole:], v[whole:]
+        if len(u):
+            yield least(u, v)
+
+    def least(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        point, first, which = np.unique(u, return_index=True, return_inverse=True)
+        to = np.minimum.reduceat(v, first)
+        other = v != to[which]
+        pairs = np.unique(np.stack([np.concatenate([point, v[other]]), np.concatenate([to, to[which[other]]])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    dealt = placed.select("cell", "s0", "s1", "s2").repartition("cell").sortWithinPartitions("cell", "s0")
+    found = map_batches(dealt, meet, "u long, v long").distinct()
+    return map_batches(found.repartition("u").sortWithinPartitions("u"), gather, "u long, v long")
 
 
 def bit_counts(fps: np.ndarray, segments: int = 32) -> np.ndarray:
