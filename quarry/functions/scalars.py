@@ -128,11 +128,28 @@ def human_seconds(seconds: float) -> str:
     return " ".join(shown)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with up to three decimals, rounded by its exact binary value, ties to even, as C and Python print it.
+
+    format_string rounds ties up, and takes the shortest decimal for the value. Numbers that aren't in [0, 2^53) are left to it.
+    """
+    inside = (x >= 0) & (x < 2**53)
+    value = F.when(inside, x).otherwise(F.lit(0.0))
+    whole, one = F.floor(value), F.lit(str(2**63)).cast("decimal(20,0)")
+    # below 2^-11, where bits are lost, all round to 0
+    scaled = F.floor((value - whole) * F.lit(2.0**63)).cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(5,0)")
+    down, twice = F.call_function("div", scaled, one), (scaled % one) * 2
+    up = F.when((twice > one) | ((twice == one) & (down % 2 == 1)), 1).otherwise(0)
+    parts = down + up
+    shown = F.concat((whole + F.floor(parts / 10**digits)).cast("string"), F.lit("."), F.lpad((parts % 10**digits).cast("string"), digits, "0"))
+    return F.when(inside, shown).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def bytes_text(size: Column) -> Column:
     """human_bytes as a Column; null stays null."""
     text = F.lit(None).cast("string")
     for unit, scale in reversed(BYTE_UNITS.items()):
-        text = F.when((size >= scale) | F.lit(scale == 1), F.concat(F.format_string("%.1f", size / scale), F.lit(f" {unit}"))).otherwise(text)
+        text = F.when((size >= scale) | F.lit(scale == 1), F.concat(fixed(size / scale, 1), F.lit(f" {unit}"))).otherwise(text)
     return F.when(size.isNotNull(), text)
 
 
@@ -144,7 +161,7 @@ def seconds_text(seconds: Column) -> Column:
         shown = F.concat(F.floor(rest / scale).cast("string"), F.lit(f" {unit}"))
         parts.append(F.when((whole >= scale) | F.lit(scale == 1), shown))
         rest = rest % scale
-    short = F.concat(F.format_string("%.3f", seconds.cast("double")), F.lit(" seconds"))
+    short = F.concat(fixed(seconds.cast("double"), 3), F.lit(" seconds"))
     return F.when(seconds < TIME_UNITS["minutes"], short).when(seconds.isNotNull(), F.concat_ws(" ", *parts))
 
 

@@ -355,3 +355,14 @@ def test_idle_shards_expire(spark, tmp_path):
         query.stop()
     assert [r.seq for r in seen if r.seq is not None] == list(range(9))
     assert sorted(r.evicted for r in seen if r.seq is None) == ["k1", "k2"]
+
+
+def test_numbers_as_text_round_like_python(spark):
+    """Ties go to the even digit, by the exact binary value, in columns as in Python."""
+    sizes = [0.0, 0.05, 0.15, 0.25, 0.95, 0.35, 999.95, 1174.0, 1280.0, 3328.0, 1279.0, 1281.0, 1023.96, 2**20 * 1.25, 2**30 * 2.75, 2**40 * 7.35, 2.0**70]
+    times = [0.0, 0.0005, 0.0015, 0.0625, 0.9995, 59.0625, 59.9995, 1e-9, 2.0005, 12.3125, 60.0, 3725.5]
+    df = spark.createDataFrame([(x, "size") for x in sizes] + [(x, "time") for x in times] + [(None, "size")], "x double, kind string")
+    got = df.select("x", "kind", scalars.bytes_text(F.col("x")).alias("size"), scalars.seconds_text(F.col("x")).alias("time")).collect()
+    for r in got:
+        want = None if r.x is None else scalars.human_bytes(r.x) if r.kind == "size" else scalars.human_seconds(r.x)
+        assert r[r.kind] == want, r
