@@ -366,3 +366,21 @@ def test_numbers_as_text_round_like_python(spark):
     for r in got:
         want = None if r.x is None else scalars.human_bytes(r.x) if r.kind == "size" else scalars.human_seconds(r.x)
         assert r[r.kind] == want, r
+
+
+@pytest.mark.parametrize("misses", [False, True])
+def test_sketched_quantile_is_exact_beyond_its_accuracy(spark, misses, monkeypatch):
+    rng = random.Random(12)
+    rows = [("a", rng.random()) for _ in range(5000)] + [("b", float(rng.randrange(4))) for _ in range(3000)] + [(None, rng.gauss(0, 1)) for _ in range(777)]
+    rows += [("a", None)] * 9 + [("none", None)] * 2 + [("one", 5.0)]
+    if misses:
+        monkeypatch.setattr(shedder.F, "percentile_approx", lambda v, ends, accuracy: F.array(F.max(v) + 1, F.max(v) + 2))
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    for q in (0.9, 0.5, 0.0, 1.0):
+        got = {r.k: (r.quantile, r.n, r.least) for r in shedder.sketched_quantile(df, ["k"], "v", q, accuracy=50).collect()}
+        want = {}
+        for k in {k for k, _ in rows}:
+            found = sorted(v for g, v in rows if g == k and v is not None)
+            rank = max(1, math.ceil(len(found) * round(10 * q) / 10 - 1e-9))
+            want[k] = (found[rank - 1] if found else None, sum(g == k for g, _ in rows), found[0] if found else None)
+        assert got == want
